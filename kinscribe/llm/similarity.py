@@ -85,12 +85,16 @@ def crossing(percent: int):
     return run
 
 
-def verifier(percent: int):
+def packed_set(blob: bytes) -> np.ndarray:
+    return unpack(blob)[0]
+
+
+def verifier(percent: int, decode):
     def run(batches):
         for batch in batches:
             keep = []
             for n1, n2, t1, t2 in zip(*(batch.column(c).to_pylist() for c in ("n1", "n2", "t1", "t2"))):
-                x, y = unpack(t1)[0], unpack(t2)[0]
+                x, y = decode(t1), decode(t2)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (n1 + n2 - both) and both > 0)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -98,24 +102,25 @@ def verifier(percent: int):
     return run
 
 
-def verified(pairs: DataFrame, items: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, items: DataFrame, percent: int, decode) -> DataFrame:
     one = items.select(F.col("id").alias("a"), F.col("n").alias("n1"), F.col("tokens").alias("t1"))
     two = items.select(F.col("id").alias("b"), F.col("n").alias("n2"), F.col("tokens").alias("t2"))
-    return checkpointed(pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "n1", "n2", "t1", "t2").mapInArrow(verifier(percent), "a long, b long"))
+    return checkpointed(pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "n1", "n2", "t1", "t2").mapInArrow(verifier(percent, decode), "a long, b long"))
 
 
-def similar_links(items: DataFrame, postings: DataFrame, percent: int, shards: int) -> DataFrame:
+def similar_links(items: DataFrame, postings: DataFrame, percent: int, shards: int, decode=packed_set) -> DataFrame:
     """Edges (a, b) between items, of which the components are those of all pairs with 100 * intersection >= percent * union.
 
     items: id, n (set size), bound (tokens that any other item may share), need (shared postings
-    that a similar pair has at least; a pair has the lesser of both), tokens (packed). postings:
+    that a similar pair has at least; a pair has the lesser of both), tokens (what decode makes a
+    set of distinct values from). postings:
     token, id; every similar pair meets in at least `need` lists."""
     lists = checkpointed(postings.join(items.select("id", "n", "bound", "need"), "id").withColumn("shard", F.pmod(F.xxhash64("token"), F.lit(shards))))
     near = lists.groupBy("shard").applyInArrow(stars(percent), PAIRS_DDL)
     best = near.groupBy("a", "b").agg(F.sum("hits").alias("hits")).groupBy("a").agg(F.max(F.struct("hits", F.negative("b").alias("b"))).alias("x")).select("a", F.negative("x.b").alias("b"))
-    links = verified(best, items, percent)
+    links = verified(best, items, percent, decode)
     parts = connected_components(links).withColumnsRenamed({"node": "id", "component": "part"})
     labelled = lists.join(parts, "id", "left").withColumn("part", F.coalesce("part", "id"))
     across = labelled.groupBy("shard").applyInArrow(crossing(percent), PAIRS_DDL)
     rest = across.groupBy("a", "b").agg(F.sum("hits").alias("hits"), F.min("need").alias("need")).where("hits >= need")
-    return links.unionAll(verified(rest, items, percent))
+    return links.unionAll(verified(rest, items, percent, decode))
