@@ -31,9 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACE_WORDS, Hasher, checkpointed, connected_components, groups_of, mix, pack, pieces, ranges, small_batches, steps, text_buffers, text_bytes, unpack, word_spans
+from .common import LOWER, SPACE_WORDS, Hasher, by_shard, checkpointed, connected_components, groups_of, mix, pack, pieces, ranges, small_batches, steps, text_buffers, text_bytes, unpack, word_spans
 from .similarity import similar_links
-from .suffix_dedup import by_shard
 
 WORDS, PERCENT, LEVELS = 4, 85, 6
 U64 = np.uint64

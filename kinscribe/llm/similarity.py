@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, connected_components, groups_of, ranges, unpack
+from .common import by_shard, checkpointed, connected_components, pack, ranges, repeated, unpack
 
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("hits", pa.int64()), ("need", pa.int64())])
 PAIRS_DDL = "a long, b long, hits long, need long"
@@ -91,36 +91,74 @@ def packed_set(blob: bytes) -> np.ndarray:
 
 def verifier(percent: int, decode):
     def run(batches):
+        sets: dict[int, np.ndarray] = {}
         for batch in batches:
             keep = []
-            for n1, n2, t1, t2 in zip(*(batch.column(c).to_pylist() for c in ("n1", "n2", "t1", "t2"))):
-                x, y = decode(t1), decode(t2)
-                both = len(np.intersect1d(x, y, assume_unique=True))
+            for a, b, n1, n2, t1, t2 in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "n1", "n2", "t1", "t2"))):
+                if len(sets) > 2000:
+                    sets.clear()
+                for i, t in ((a, t1), (b, t2)):
+                    if i not in sets:
+                        sets[i] = decode(t)
+                x, y = sets[a], sets[b]
+                if len(x) > len(y):
+                    x, y = y, x
+                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
                 keep.append(100 * both >= percent * (n1 + n2 - both) and both > 0)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
+def send_sets(shards: int, decode):
+    """(shard, payload): the values of items, by shard, with their items."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [decode(t) for t in batch.column("tokens").to_pylist()]
+            ids, size = batch.column("id").to_numpy(), np.array([len(x) for x in sets])
+            value, row = np.concatenate(sets).view(np.uint64), np.repeat(np.arange(len(ids)), size)
+            out = [(s, pack(ids[np.unique(row[x])], np.unique(row[x], return_counts=True)[1].astype(np.uint32), value[x] >> np.uint64(16))) for s, x in by_shard((value % np.uint64(shards)).astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())], ["shard", "payload"])
+
+    return run
+
+
+def shared_counts(table: pa.Table) -> pa.Table:
+    """Of one shard: how many values of each item another item has too."""
+    ids, n, value = (np.concatenate(x) for x in zip(*(unpack(x.as_py()) for x in table.column("payload"))))
+    hit = repeated(value)
+    who, m = np.unique(np.repeat(ids, n)[hit], return_counts=True)
+    return pa.Table.from_arrays([pa.array(who, pa.int64()), pa.array(m, pa.int64())], ["id", "shared"])
+
+
 def verified(pairs: DataFrame, items: DataFrame, percent: int, decode) -> DataFrame:
     one = items.select(F.col("id").alias("a"), F.col("n").alias("n1"), F.col("tokens").alias("t1"))
     two = items.select(F.col("id").alias("b"), F.col("n").alias("n2"), F.col("tokens").alias("t2"))
     return checkpointed(pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "n1", "n2", "t1", "t2").mapInArrow(verifier(percent, decode), "a long, b long"))
 
 
-def similar_links(items: DataFrame, postings: DataFrame, percent: int, shards: int, decode=packed_set) -> DataFrame:
+def similar_links(items: DataFrame, postings: DataFrame, percent: int, shards: int, decode=packed_set, refine: bool = False) -> DataFrame:
     """Edges (a, b) between items, of which the components are those of all pairs with 100 * intersection >= percent * union.
 
     items: id, n (set size), bound (tokens that any other item may share), need (shared postings
     that a similar pair has at least; a pair has the lesser of both), tokens (what decode makes a
-    set of distinct values from). postings:
+    set of distinct values from); refine: bounds are counted here, for items that still have a
+    list across components. postings:
     token, id; every similar pair meets in at least `need` lists."""
     lists = checkpointed(postings.join(items.select("id", "n", "bound", "need"), "id").withColumn("shard", F.pmod(F.xxhash64("token"), F.lit(shards))))
     near = lists.groupBy("shard").applyInArrow(stars(percent), PAIRS_DDL)
     best = near.groupBy("a", "b").agg(F.sum("hits").alias("hits")).groupBy("a").agg(F.max(F.struct("hits", F.negative("b").alias("b"))).alias("x")).select("a", F.negative("x.b").alias("b"))
     links = verified(best, items, percent, decode)
     parts = connected_components(links).withColumnsRenamed({"node": "id", "component": "part"})
-    labelled = lists.join(parts, "id", "left").withColumn("part", F.coalesce("part", "id"))
+    labelled = checkpointed(lists.join(parts, "id", "left").withColumn("part", F.coalesce("part", "id")))
+    mixed = labelled.groupBy("token").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x != y").select("token")
+    labelled = labelled.join(mixed, "token", "left_semi").select(labelled.columns)
+    if refine:
+        labelled = checkpointed(labelled)
+        left = items.join(labelled.select("id").distinct(), "id", "left_semi").select("id", "tokens")
+        bounds = left.mapInArrow(send_sets(shards, decode), "shard long, payload binary").groupBy("shard").applyInArrow(shared_counts, "id long, shared long").groupBy("id").agg(F.sum("shared").alias("shared"))
+        labelled = labelled.join(bounds, "id").withColumn("bound", F.col("shared")).drop("shared")
     across = labelled.groupBy("shard").applyInArrow(crossing(percent), PAIRS_DDL)
     rest = across.groupBy("a", "b").agg(F.sum("hits").alias("hits"), F.min("need").alias("need")).where("hits >= need")
     return links.unionAll(verified(rest, items, percent, decode))

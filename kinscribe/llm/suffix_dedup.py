@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE_INV, Hasher, checkpointed, groups_of, mix, pack, pieces, powers, ranges, small_batches, steps, text_buffers, unpack
+from .common import BASE_INV, Hasher, by_shard, checkpointed, groups_of, mix, pack, pieces, powers, ranges, small_batches, steps, text_buffers, unpack
 from .suffix_order import suffix_order
 
 GRAM, BLOCK_BYTES = 12, 4 << 20
@@ -102,13 +102,6 @@ def distinct(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return order[first], np.minimum.reduceat(docs[order], first), np.maximum.reduceat(docs[order], first)
 
 
-def by_shard(shard: np.ndarray):
-    """(shard, places) of each shard that occurs."""
-    order, first = groups_of(shard)
-    for a, b in zip(first, np.append(first[1:], len(order))):
-        yield int(shard[order[a]]), order[a:b]
-
-
 def rows(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({k: pa.array(v, pa.binary() if k == "payload" else pa.int64()) for k, v in columns.items()})
 
