@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import BASE_INV, Hasher, by_shard, checkpointed, groups_of, mix, pack, pieces, powers, ranges, small_batches, steps, text_buffers, unpack
 from .suffix_order import suffix_order
 
-GRAM, BLOCK_BYTES = 12, 4 << 20
+GRAM, BLOCK_BYTES = 20, 4 << 20
 U64 = np.uint64
 
 
@@ -63,6 +63,15 @@ def pack_blocks(batches):
         yield flush()
 
 
+def gram_hashes(h: Hasher, size: int) -> np.ndarray:
+    """Of every GRAM bytes of a buffer of that size."""
+    return mix((h.sums[GRAM:] - h.sums[:-GRAM]) * powers(BASE_INV, size + 1)[: size - GRAM + 1])
+
+
+def key_of(trigger: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    return mix(trigger ^ mix(whole))
+
+
 class Phrases:
     """The phrases of a block: trigger, hash, document, first place and number of windows of each."""
 
@@ -76,7 +85,7 @@ class Phrases:
             if not count.any():
                 continue
             h = Hasher(d)
-            low = mix((h.sums[GRAM:] - h.sums[:-GRAM]) * powers(BASE_INV, len(d) + 1)[: len(d) - GRAM + 1])
+            low = gram_hashes(h, len(d))
             width = 1
             while width * 2 <= span:
                 low = np.minimum(low[:-width], low[width:])
@@ -91,7 +100,7 @@ class Phrases:
             parts.append((low[new], h.of(start, start + windows + length - 1), doc[new] + i, start + self.offsets[i], windows))
         empty = (np.zeros(0, U64), np.zeros(0, U64), *[np.zeros(0, np.int64)] * 3)
         self.trigger, self.hash, self.doc, self.start, self.windows = (np.concatenate(x) for x in zip(*parts)) if parts else empty
-        self.key = mix(self.trigger ^ mix(self.hash))
+        self.key = key_of(self.trigger, self.hash)
 
 
 def distinct(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -116,7 +125,7 @@ def send_triggers(shards: int, length: int):
                 p = Phrases(blob.as_py(), length)
                 place, least, most = distinct(p.trigger, p.ids[p.doc])
                 t = p.trigger[place]
-                out = [(s, block, pack(t[x], least[x] != most[x])) for s, x in by_shard((t % U64(shards)).astype(np.int64))]
+                out = [(s, block, pack(t[x] >> U64(16), least[x] != most[x])) for s, x in by_shard((t % U64(shards)).astype(np.int64))]
                 if out:
                     yield rows(**dict(zip(("shard", "block", "payload"), zip(*out))))
 
@@ -124,7 +133,7 @@ def send_triggers(shards: int, length: int):
 
 
 def shared_triggers(table: pa.Table) -> pa.Table:
-    """Of one shard: for each block the triggers that a second document has."""
+    """Of one shard: for each block a bit for each trigger that it sent, set where a second document has it."""
     got = [unpack(x.as_py()) for x in table.column("payload")]
     keys = np.concatenate([x[0] for x in got])
     alone = ~np.concatenate([x[1] for x in got])
@@ -134,7 +143,7 @@ def shared_triggers(table: pa.Table) -> pa.Table:
     keep[order] = np.repeat(size > 1, size)
     keep |= ~alone
     cut = np.split(keep, np.cumsum([len(x[0]) for x in got])[:-1])
-    out = [(s, b, pack(x[0][k])) for s, b, x, k in zip(table.column("shard").to_pylist(), table.column("block").to_pylist(), got, cut) if k.any()]
+    out = [(s, b, pack(np.packbits(k))) for s, b, k in zip(table.column("shard").to_pylist(), table.column("block").to_pylist(), cut) if k.any()]
     return pa.Table.from_batches([rows(**{n: [x[i] for x in out] for i, n in enumerate(("shard", "block", "payload"))})])
 
 
@@ -142,8 +151,11 @@ def send_phrases(shards: int, length: int):
     def run(blocks: pa.Table, replies: pa.Table) -> pa.Table:
         out = []
         if blocks.num_rows and replies.num_rows:
-            shared = np.sort(np.concatenate([unpack(x.as_py())[0] for x in replies.column("payload")]))
+            marks = dict(zip(replies.column("shard").to_pylist(), replies.column("payload")))
             block, p = blocks.column("block")[0].as_py(), Phrases(blocks.column("blob")[0].as_py(), length)
+            t = p.trigger[distinct(p.trigger, p.ids[p.doc])[0]]
+            wanted = [t[x][np.unpackbits(unpack(marks[s].as_py())[0], count=len(x)).astype(bool)] for s, x in by_shard((t % U64(shards)).astype(np.int64)) if s in marks]
+            shared = np.sort(np.concatenate(wanted))
             at = np.searchsorted(shared, p.trigger)
             mine = np.flatnonzero(shared[np.minimum(at, len(shared) - 1)] == p.trigger)
             place, least, most = distinct(p.key[mine], p.ids[p.doc[mine]])
@@ -151,7 +163,7 @@ def send_phrases(shards: int, length: int):
             for s, x in by_shard((p.trigger[place] % U64(shards)).astype(np.int64)):
                 q = place[x]
                 size = p.windows[q] + length - 1
-                out.append((s, block, pack(p.trigger[q], p.key[q], size.astype(np.uint32), least[x], most[x], p.data[ranges(p.start[q], size)])))
+                out.append((s, block, pack(size.astype(np.uint32), least[x], most[x], p.data[ranges(p.start[q], size)])))
         return pa.Table.from_batches([rows(**{n: [x[i] for x in out] for i, n in enumerate(("shard", "block", "payload"))})])
 
     return run
@@ -191,10 +203,13 @@ def first_documents(trigger, key, size, least, text, length):
 def resolve(length: int):
     def run(table: pa.Table) -> pa.Table:
         got = [unpack(x.as_py()) for x in table.column("payload")]
-        trigger, key, size, least, most = (np.concatenate([x[i] for x in got]) for i in range(5))
+        size, least, most, text = (np.concatenate([x[i] for x in got]) for i in range(4))
         size = size.astype(np.int64)
-        text = np.concatenate([x[5] for x in got])
         begin = np.concatenate(([0], np.cumsum(size)[:-1]))
+        h = Hasher(text)
+        grams = size - GRAM + 1
+        trigger = np.minimum.reduceat(gram_hashes(h, len(text))[ranges(begin, grams)], np.cumsum(grams) - grams)
+        key = key_of(trigger, h.of(begin, begin + size))
         order, first = groups_of(key)
         kind = np.empty(len(key), np.int64)
         kind[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
