@@ -5,7 +5,7 @@ A document's set is its distinct shingles of four words. Documents link when
 
 Method: shingles are ordered from rare to frequent by their exact document frequency. A
 document's prefix with level l is its first n - ceil(0.85 n) + l shingles; two linked documents
-share at least the lesser of their levels in their prefixes. Each document picks the level
+share at least the lesser of their levels in their prefixes, and more where their sizes ask for it. Each document picks the level
 whose estimated cost (postings read, and candidates that would be verified, fewer the more
 shared tokens they need) is least. Candidates are verified exactly.
 
@@ -114,8 +114,8 @@ def shared_shingles(homes: int):
     return run
 
 
-ITEM_DDL = "id long, n long, bound long, need long, digest binary, tokens binary, prefix array<long>"
-ITEM = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("bound", pa.int64()), ("need", pa.int64()), ("digest", pa.binary()), ("tokens", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+ITEM_DDL = "id long, n long, bound long, need long, rest long, digest binary, tokens binary, prefix array<long>"
+ITEM = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("bound", pa.int64()), ("need", pa.int64()), ("rest", pa.int64()), ("digest", pa.binary()), ("tokens", pa.binary()), ("prefix", pa.list_(pa.int64()))])
 
 
 def level_of(often: np.ndarray, base: int) -> int:
@@ -153,8 +153,8 @@ def gather(table: pa.Table) -> pa.Table:
         level = level_of(f, base)
         ordered = np.sort(t)
         digest = hashlib.sha1(ordered.tobytes()).digest() if len(t) == n else None
-        out.append((int(doc[a]), n, len(t), level, digest, pack(ordered), t[: base + level].tolist()))
-    return pa.Table.from_arrays([pa.array([x[i] for x in out], ITEM.field(i).type) for i in range(7)], schema=ITEM)
+        out.append((int(doc[a]), n, len(t), level, max(len(t) - base - level, 0), digest, pack(ordered), t[: base + level].tolist()))
+    return pa.Table.from_arrays([pa.array([x[i] for x in out], ITEM.field(i).type) for i in range(8)], schema=ITEM)
 
 
 def sizes(batches):

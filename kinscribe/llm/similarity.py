@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_shard, checkpointed, connected_components, pack, ranges, repeated, unpack
+from .common import by_shard, checkpointed, connected_components, mix, pack, ranges, repeated, unpack
 
 PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("hits", pa.int64()), ("need", pa.int64())])
 PAIRS_DDL = "a long, b long, hits long, need long"
@@ -55,11 +55,16 @@ def stars(percent: int):
     return run
 
 
-def crossing(percent: int):
+def crossing(percent: int, homes: int):
+    """Pairs across components of the lists of a shard, with their number of lists, packed by the home of the lesser item.
+
+    Prefixes come first in a common order, so two items share at most their common postings
+    plus what follows the prefix that ends first; a pair needs as many postings as that leaves."""
+
     def run(table: pa.Table) -> pa.Table:
-        token, i, n, most, need, part = columns(table, "token", "id", "n", "bound", "need", "part")
+        token, i, n, most, need, rest, part = columns(table, "token", "id", "n", "bound", "need", "rest", "part")
         order = np.lexsort((i, part, token))
-        token, i, n, most, need, part = (x[order] for x in (token, i, n, most, need, part))
+        token, i, n, most, need, rest, part = (x[order] for x in (token, i, n, most, need, rest, part))
         first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
         stop = np.append(first[1:], len(token))
         mixed = part[first] != part[stop - 1]
@@ -78,13 +83,26 @@ def crossing(percent: int):
             x, y = x[ok], y[ok]
             a.append(np.minimum(i[x], i[y]))
             b.append(np.maximum(i[x], i[y]))
-            m.append(np.minimum(need[x], need[y]))
+            least = -(-percent * (n[x] + n[y]) // (100 + percent))
+            m.append(np.maximum(np.minimum(need[x], need[y]), least - np.maximum(rest[x], rest[y])))
             at = to
-        return counted(a, b, m)
+        x, y, hits, m = columns(counted(a, b, m), "a", "b", "hits", "need")
+        out = [(h, pack(x[q], y[q], hits[q], m[q])) for h, q in by_shard(((mix(x.view(np.uint64))) % np.uint64(homes)).astype(np.int64))]
+        return pa.Table.from_arrays([pa.array([h for h, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())], ["shard", "payload"])
 
     return run
 
 
+def enough(table: pa.Table) -> pa.Table:
+    """Of one home: the pairs that meet in as many lists as they need."""
+    x, y, hits, need = (np.concatenate(c) for c in zip(*(unpack(p.as_py()) for p in table.column("payload"))))
+    order = np.lexsort((y, x))
+    x, y, hits, need = x[order], y[order], hits[order], need[order]
+    first = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1]))))
+    keep = first[np.add.reduceat(hits, first) >= need[first]]
+    return pa.Table.from_arrays([pa.array(x[keep]), pa.array(y[keep])], ["a", "b"])
+
+
 def packed_set(blob: bytes) -> np.ndarray:
     return unpack(blob)[0]
 
@@ -142,11 +160,12 @@ def similar_links(items: DataFrame, postings: DataFrame, percent: int, shards: i
     """Edges (a, b) between items, of which the components are those of all pairs with 100 * intersection >= percent * union.
 
     items: id, n (set size), bound (tokens that any other item may share), need (shared postings
-    that a similar pair has at least; a pair has the lesser of both), tokens (what decode makes a
+    that a similar pair has at least; a pair has the lesser of both), rest (tokens after the
+    item's own postings in the common order; n where there is no order), tokens (what decode makes a
     set of distinct values from); refine: bounds are counted here, for items that still have a
     list across components. postings:
     token, id; every similar pair meets in at least `need` lists."""
-    lists = checkpointed(postings.join(items.select("id", "n", "bound", "need"), "id").withColumn("shard", F.pmod(F.xxhash64("token"), F.lit(shards))))
+    lists = checkpointed(postings.join(items.select("id", "n", "bound", "need", "rest"), "id").withColumn("shard", F.pmod(F.xxhash64("token"), F.lit(shards))))
     near = lists.groupBy("shard").applyInArrow(stars(percent), PAIRS_DDL)
     best = near.groupBy("a", "b").agg(F.sum("hits").alias("hits")).groupBy("a").agg(F.max(F.struct("hits", F.negative("b").alias("b"))).alias("x")).select("a", F.negative("x.b").alias("b"))
     links = verified(best, items, percent, decode)
@@ -159,6 +178,5 @@ def similar_links(items: DataFrame, postings: DataFrame, percent: int, shards: i
         left = items.join(labelled.select("id").distinct(), "id", "left_semi").select("id", "tokens")
         bounds = left.mapInArrow(send_sets(shards, decode), "shard long, payload binary").groupBy("shard").applyInArrow(shared_counts, "id long, shared long").groupBy("id").agg(F.sum("shared").alias("shared"))
         labelled = labelled.join(bounds, "id").withColumn("bound", F.col("shared")).drop("shared")
-    across = labelled.groupBy("shard").applyInArrow(crossing(percent), PAIRS_DDL)
-    rest = across.groupBy("a", "b").agg(F.sum("hits").alias("hits"), F.min("need").alias("need")).where("hits >= need")
+    rest = labelled.groupBy("shard").applyInArrow(crossing(percent, shards), "shard long, payload binary").groupBy("shard").applyInArrow(enough, "a long, b long")
     return links.unionAll(verified(rest, items, percent, decode))
