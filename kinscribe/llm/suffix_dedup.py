@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE_INV, Hasher, by_shard, checkpointed, groups_of, mix, pack, pieces, powers, ranges, small_batches, steps, text_buffers, unpack
+from .common import BASE_INV, Hasher, by_shard, checkpointed, groups_of, mix, pack, pieces, powers, ranges, repeated, small_batches, steps, text_buffers, unpack
 from .suffix_order import suffix_order
 
 GRAM, BLOCK_BYTES = 20, 4 << 20
@@ -181,6 +181,14 @@ def first_documents(trigger, key, size, least, text, length):
     one = np.flatnonzero(~several)
     found = [(one, np.zeros(len(one), np.int64), windows[one], least[one])]
     many = np.flatnonzero(several)
+    if len(many):
+        # phrases that share a trigger by chance hold no window twice: they need no order
+        at = ranges(begin[many], windows[many])
+        twice = repeated(Hasher(text).of(at, at + length))
+        some = np.add.reduceat(twice, np.cumsum(windows[many]) - windows[many]) > 0
+        lone = many[~some]
+        found.append((lone, np.zeros(len(lone), np.int64), windows[lone], least[lone]))
+        many = many[some]
     if len(many):
         data = text[ranges(begin[many], size[many])]
         order = suffix_order(data, size[many])
