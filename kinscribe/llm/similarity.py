@@ -55,9 +55,20 @@ def stars(percent: int):
     return run
 
 
+def differences(sketch: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A lower bound of the symmetric difference of items x and y: bits in which their parity sketches differ."""
+    out = np.zeros(len(x), np.int64)
+    for k in range(sketch.shape[1]):
+        out += np.bitwise_count(sketch[x, k] ^ sketch[y, k])
+    return out
+
+
 def crossing(percent: int, homes: int):
     """Pairs across components of the lists of a shard, with their number of lists, packed by the home of the lesser item.
 
+    Where items have parity sketches, pairs whose sketches differ in more bits than the sets may
+    differ in values are left out; that bound is exact, so no link is lost.
+
     Prefixes come first in a common order, so two items share at most their common postings
     plus what follows the prefix that ends first; a pair needs as many postings as that leaves."""
 
@@ -65,6 +76,7 @@ def crossing(percent: int, homes: int):
         token, i, n, most, need, rest, part = columns(table, "token", "id", "n", "bound", "need", "rest", "part")
         order = np.lexsort((i, part, token))
         token, i, n, most, need, rest, part = (x[order] for x in (token, i, n, most, need, rest, part))
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(len(i), -1)[order] if "sketch" in table.column_names else None
         first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
         stop = np.append(first[1:], len(token))
         mixed = part[first] != part[stop - 1]
@@ -81,6 +93,9 @@ def crossing(percent: int, homes: int):
             y = ranges(run_stop[rows[at:to]], width[at:to])
             ok = (i[x] != i[y]) & possible(n[x], n[y], most[x], most[y], percent)
             x, y = x[ok], y[ok]
+            if sketch is not None:
+                ok = (100 + percent) * differences(sketch, x, y) <= (100 - percent) * (n[x] + n[y])
+                x, y = x[ok], y[ok]
             a.append(np.minimum(i[x], i[y]))
             b.append(np.maximum(i[x], i[y]))
             least = -(-percent * (n[x] + n[y]) // (100 + percent))
@@ -150,25 +165,28 @@ def shared_counts(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(who, pa.int64()), pa.array(m, pa.int64())], ["id", "shared"])
 
 
-def verified(pairs: DataFrame, items: DataFrame, percent: int, decode) -> DataFrame:
+def verified(pairs: DataFrame, items: DataFrame, verify) -> DataFrame:
     one = items.select(F.col("id").alias("a"), F.col("n").alias("n1"), F.col("tokens").alias("t1"))
     two = items.select(F.col("id").alias("b"), F.col("n").alias("n2"), F.col("tokens").alias("t2"))
-    return checkpointed(pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "n1", "n2", "t1", "t2").mapInArrow(verifier(percent, decode), "a long, b long"))
+    return checkpointed(pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "n1", "n2", "t1", "t2").mapInArrow(verify, "a long, b long"))
 
 
-def similar_links(items: DataFrame, postings: DataFrame, percent: int, shards: int, decode=packed_set, refine: bool = False) -> DataFrame:
+def similar_links(items: DataFrame, postings: DataFrame, percent: int, shards: int, decode=packed_set, refine: bool = False, verify=None) -> DataFrame:
     """Edges (a, b) between items, of which the components are those of all pairs with 100 * intersection >= percent * union.
 
     items: id, n (set size), bound (tokens that any other item may share), need (shared postings
     that a similar pair has at least; a pair has the lesser of both), rest (tokens after the
     item's own postings in the common order; n where there is no order), tokens (what decode makes a
-    set of distinct values from); refine: bounds are counted here, for items that still have a
+    set of distinct values from), sketch if there is one (parity bits of the set, a multiple of
+    8 bytes); verify: what keeps the pairs (a, b, n1, n2, t1, t2) that are similar, by mapInArrow;
+    refine: bounds are counted here, for items that still have a
     list across components. postings:
     token, id; every similar pair meets in at least `need` lists."""
+    verify = verify or verifier(percent, decode)
     lists = checkpointed(postings.join(items.select("id", "n", "bound", "need", "rest"), "id").withColumn("shard", F.pmod(F.xxhash64("token"), F.lit(shards))))
     near = lists.groupBy("shard").applyInArrow(stars(percent), PAIRS_DDL)
     best = near.groupBy("a", "b").agg(F.sum("hits").alias("hits")).groupBy("a").agg(F.max(F.struct("hits", F.negative("b").alias("b"))).alias("x")).select("a", F.negative("x.b").alias("b"))
-    links = verified(best, items, percent, decode)
+    links = verified(best, items, verify)
     parts = connected_components(links).withColumnsRenamed({"node": "id", "component": "part"})
     labelled = checkpointed(lists.join(parts, "id", "left").withColumn("part", F.coalesce("part", "id")))
     mixed = labelled.groupBy("token").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x != y").select("token")
@@ -178,5 +196,7 @@ def similar_links(items: DataFrame, postings: DataFrame, percent: int, shards: i
         left = items.join(labelled.select("id").distinct(), "id", "left_semi").select("id", "tokens")
         bounds = left.mapInArrow(send_sets(shards, decode), "shard long, payload binary").groupBy("shard").applyInArrow(shared_counts, "id long, shared long").groupBy("id").agg(F.sum("shared").alias("shared"))
         labelled = labelled.join(bounds, "id").withColumn("bound", F.col("shared")).drop("shared")
+    if "sketch" in items.columns:
+        labelled = labelled.join(items.select("id", "sketch"), "id")
     rest = labelled.groupBy("shard").applyInArrow(crossing(percent, shards), "shard long, payload binary").groupBy("shard").applyInArrow(enough, "a long, b long")
-    return links.unionAll(verified(rest, items, percent, decode))
+    return links.unionAll(verified(rest, items, verify))
