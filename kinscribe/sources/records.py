@@ -25,7 +25,7 @@ def parsed(title: Column, authors: Column, third: Column) -> list[Column]:
     kind = F.regexp_extract(third, r"\d{4}\. (\w+):", 1)
     return [
         F.trim(title).alias("title"), names.alias("authors"), F.regexp_extract(third, r"\b(\d{4})\b", 1).try_cast("int").alias("year"),
-        (F.array_position(F.array(*map(F.lit, TYPES)), kind) - 1).cast("int").alias("type"), venue.alias("venue"), F.nullif(F.regexp_extract(third, r"key: (\S+?)\.?$", 1), F.lit("")).alias("pubkey"),
+        (F.nullif(F.array_position(F.array(*map(F.lit, TYPES)), kind), F.lit(0)) - 1).cast("int").alias("type"), venue.alias("venue"), F.nullif(F.regexp_extract(third, r"key: (\S+?)\.?$", 1), F.lit("")).alias("pubkey"),
     ]
 
 
