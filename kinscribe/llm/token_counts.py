@@ -5,8 +5,9 @@ cut at fixed sizes, wherever documents end. In each block numpy searches all end
 a prefix scan over the blocks of a file then stitches documents that cross blocks: the number of
 ends before a block, and where the last of them stood.
 
-Scale: only ends leave a block. The scan has two levels, blocks within groups of GROUP and groups
-within a file, so that no window holds more than GROUP rows of a file of 2**40 tokens.
+Scale: only ends leave a block, and are written once, so blocks are made and scanned once. The
+scan has two levels, blocks within groups of GROUP and groups within a file, so that no window
+holds more than GROUP rows of a file of 2**40 tokens.
 
 Defined cases: an empty file has no document; two ends in a row are an empty document; tokens
 after the last end of a file are a document with terminated false; files may hold any number of
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import checkpointed, small_batches
 from .tokens import Encoder
 
 END_ID, BLOCK_TOKENS, GROUP = 50256, 1 << 18, 4096
@@ -88,7 +89,7 @@ def scan(end_id: int, dtype: str):
 
 def count_tokens(blocks: DataFrame, end_id: int = END_ID, dtype: str = "<u2") -> DataFrame:
     """(file, ordinal, doc_id, start, n_tokens, terminated) of every document of the files; doc_id where blocks name it."""
-    s = blocks.mapInArrow(scan(end_id, dtype), "file string, block long, n long, ends array<long>, ended array<long>")
+    s = checkpointed(blocks.mapInArrow(scan(end_id, dtype), "file string, block long, n long, ends array<long>, ended array<long>"))
     s = s.withColumn("grp", F.expr(f"block div {GROUP}")).withColumn("m", F.size("ends").cast("long"))
     inside = Window.partitionBy("file", "grp").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     zero, none = F.lit(0).cast("long"), F.lit(-1).cast("long")
