@@ -1,4 +1,4 @@
-"""The ten queries over the tables of a folder, and the pipeline; DuckDB SQL where SQL can say it."""
+"""The ten queries over the tables of a folder, and the pipeline; oracle.py has DuckDB SQL where SQL can say it."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from .decontamination import find_contamination
 from .license_scan import license_scan
 from .line_dedup import line_classes
 from .ngram_join import ngram_jaccard_join
+from .oracle import oracle_sql  # noqa: F401
 from .packing import pack_documents
 from .quality_rules import repetition_quality
 from .suffix_dedup import suffix_dedup
