@@ -195,7 +195,7 @@ CLUSTERS_SQL = "with recursive d as (select distinct c_nationkey focus, o_orderk
 
 
 def clustered(s, d):
-    o = t(s, d, "orders").where("o_orderkey % 40 = 0").join(t(s, d, "customer"), F.col("c_custkey") == F.col("o_custkey")).select("c_nationkey", "o_orderkey", "o_orderpriority")
+    o = t(s, d, "orders").join(t(s, d, "customer"), F.col("c_custkey") == F.col("o_custkey")).select("c_nationkey", "o_orderkey", "o_orderpriority")
     b = o.join(t(s, d, "lineitem").select("l_orderkey", "l_suppkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     return o, by_shared_partner(b, "c_nationkey", "o_orderkey", "l_suppkey")
 
