@@ -1,22 +1,22 @@
 """N-gram Jaccard join (operator 10): adaptive multi-match prefixes.
 
-A document's set is its distinct shingles of four words. Documents link when
-100 * intersection >= 85 * union; the result is their components.
+A document's set is its distinct shingles of WORDS words. Documents link when
+100 * intersection >= PERCENT * union; the result is their components. Both are parameters (op10: 4 and 85).
 
 Method: shingles are ordered from rare to frequent by their exact document frequency. A
-document's prefix with level l is its first n - ceil(0.85 n) + l shingles; two linked documents
+document's prefix with level l is its first n - ceil(n * PERCENT / 100) + l shingles; two linked documents
 share at least the lesser of their levels in their prefixes, and more where their sizes ask for it. Each document picks the level
 whose estimated cost (postings read, and candidates that would be verified, fewer the more
 shared tokens they need) is least. Candidates are verified exactly.
 
 Scale: shingle hashes are packed by shard, so a shuffle row is thousands of shingles. Shingles
-of one document only, most of them, end there. A document that shares under 85 % of its
+of one document only, most of them, end there. A document that shares under PERCENT % of its
 shingles with any other can have no partner and goes no further. Documents with equal sets are
 one item. The rest is similarity.py.
 
 Hashes of 48 bits beside the shard's number stand for shingles.
 
-Defined cases: null, empty or wordless text has an empty set and links with nothing; under four
+Defined cases: null, empty or wordless text has an empty set and links with nothing; under WORDS
 words the whole sequence is the one shingle; rows with a null doc_id get a null component; rows
 that share a doc_id are one document for links and keep a row each; an empty table gives an
 empty one. Only the two named columns are read.
@@ -59,13 +59,13 @@ def shingles(data: np.ndarray, offsets: np.ndarray, width: int = WORDS) -> tuple
     return key[new], np.bincount(doc[new], minlength=len(words))
 
 
-def shingle_batches(batches, size: int):
+def shingle_batches(batches, size: int, width: int = WORDS):
     for batch in batches:
         data, offsets = text_buffers(batch.column(1))
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         keys, counts = [], []
         for _, _, d, o in steps(data, offsets):
-            k, c = shingles(d, o)
+            k, c = shingles(d, o, width)
             keys.append(k)
             counts.append(c)
             if sum(map(len, keys)) > size:
@@ -76,9 +76,9 @@ def shingle_batches(batches, size: int):
             yield ids, np.concatenate(keys), np.concatenate(counts)
 
 
-def send_shingles(shards: int):
+def send_shingles(shards: int, width: int = WORDS):
     def run(batches):
-        for ids, keys, counts in shingle_batches(batches, 2_000_000):
+        for ids, keys, counts in shingle_batches(batches, 2_000_000, width):
             ids = ids.astype(np.int64)
             doc = np.repeat(np.arange(len(ids)), counts)
             out = []
@@ -134,56 +134,63 @@ def level_of(often: np.ndarray, base: int) -> int:
     return best
 
 
-def gather(table: pa.Table) -> pa.Table:
+def gather(percent: int):
     """Of one home: the documents that can have partners, with their shared tokens from rare to frequent and their adaptive prefix."""
-    ids, m, total, token, often = (np.concatenate(x) for x in zip(*(unpack(x.as_py()) for x in table.column("payload"))))
-    row = np.repeat(np.arange(len(ids)), m)
-    order = np.lexsort((token, often, ids[row]))
-    doc, token, often, total = ids[row][order], token[order], often[order].astype(np.int64), total[row][order]
-    first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.zeros(0, np.int64)
-    out = []
-    for a, b in zip(first.tolist(), np.append(first[1:], len(doc)).tolist()):
-        n, t, f = int(total[a:b].max()), token[a:b], often[a:b]
-        if b - a > 1:
-            new = np.concatenate(([True], t[1:] != t[:-1]))
-            t, f = t[new], f[new]
-        if 100 * len(t) < PERCENT * n:
-            continue
-        base = n - -(-PERCENT * n // 100) - (n - len(t))
-        level = level_of(f, base)
-        ordered = np.sort(t)
-        digest = hashlib.sha1(ordered.tobytes()).digest() if len(t) == n else None
-        out.append((int(doc[a]), n, len(t), level, max(len(t) - base - level, 0), digest, pack(ordered), t[: base + level].tolist()))
-    return pa.Table.from_arrays([pa.array([x[i] for x in out], ITEM.field(i).type) for i in range(8)], schema=ITEM)
-
-
-def sizes(batches):
-    for ids, _, counts in shingle_batches(batches, 1 << 62):
-        yield pa.RecordBatch.from_arrays([pa.array(ids, from_pandas=True).cast(pa.int64()), pa.array(counts.astype(np.int64))], ["doc_id", "n_shingles"])
-
-
-def ngram_jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document; see the module."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, m, total, token, often = (np.concatenate(x) for x in zip(*(unpack(x.as_py()) for x in table.column("payload"))))
+        row = np.repeat(np.arange(len(ids)), m)
+        order = np.lexsort((token, often, ids[row]))
+        doc, token, often, total = ids[row][order], token[order], often[order].astype(np.int64), total[row][order]
+        first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.zeros(0, np.int64)
+        out = []
+        for a, b in zip(first.tolist(), np.append(first[1:], len(doc)).tolist()):
+            n, t, f = int(total[a:b].max()), token[a:b], often[a:b]
+            if b - a > 1:
+                new = np.concatenate(([True], t[1:] != t[:-1]))
+                t, f = t[new], f[new]
+            if 100 * len(t) < percent * n:
+                continue
+            base = n - -(-percent * n // 100) - (n - len(t))
+            level = level_of(f, base)
+            ordered = np.sort(t)
+            digest = hashlib.sha1(ordered.tobytes()).digest() if len(t) == n else None
+            out.append((int(doc[a]), n, len(t), level, max(len(t) - base - level, 0), digest, pack(ordered), t[: base + level].tolist()))
+        return pa.Table.from_arrays([pa.array([x[i] for x in out], ITEM.field(i).type) for i in range(8)], schema=ITEM)
+
+    return run
+
+
+def sizes(width: int):
+    def run(batches):
+        for ids, _, counts in shingle_batches(batches, 1 << 62, width):
+            yield pa.RecordBatch.from_arrays([pa.array(ids, from_pandas=True).cast(pa.int64()), pa.array(counts.astype(np.int64))], ["doc_id", "n_shingles"])
+
+    return run
+
+
+def ngram_jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every document, for shingles of so many words and links from so many percent; see the module."""
     spark = docs.sparkSession
     small_batches(spark)
     pick = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     shards = pieces(spark, text_bytes(pick), 12 << 20)
     if shards > 0xFFFF:
         raise ValueError("over 65535 shards: give a larger target")
-    sent = pick.where("doc_id is not null").mapInArrow(send_shingles(shards), "shard long, payload binary")
+    sent = pick.where("doc_id is not null").mapInArrow(send_shingles(shards, words), "shard long, payload binary")
     homes = sent.groupBy("shard").applyInArrow(shared_shingles(shards), "shard long, payload binary")
-    found = checkpointed(homes.groupBy("shard").applyInArrow(gather, ITEM_DDL))
+    found = checkpointed(homes.groupBy("shard").applyInArrow(gather(percent), ITEM_DDL))
     copies = checkpointed(found.where("digest is not null").groupBy("n", "digest").agg(F.min("id").alias("rep"), F.count("*").alias("m")).where("m > 1").select("digest", "rep"))
     same = found.select("id", "digest").join(copies, "digest").where("id != rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     same = checkpointed(same)
     items = found.join(same.select(F.col("a").alias("id")), "id", "left_anti")
-    links = similar_links(items, items.select(F.explode("prefix").alias("token"), "id"), PERCENT, shards)
+    links = similar_links(items, items.select(F.explode("prefix").alias("token"), "id"), percent, shards)
     parts = connected_components(links.unionAll(same))
-    own = pick.mapInArrow(sizes, "doc_id long, n_shingles long")
+    own = pick.mapInArrow(sizes(words), "doc_id long, n_shingles long")
     return own.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """docs without those that have a smaller doc_id in their component."""
-    gone = ngram_jaccard_join(docs, id_column, text_column).where("component_id < doc_id").select(F.col("doc_id").alias(id_column))
+    gone = ngram_jaccard_join(docs, id_column, text_column, words, percent).where("component_id < doc_id").select(F.col("doc_id").alias(id_column))
     return docs.join(gone, id_column, "left_anti").select(docs.columns)
