@@ -22,7 +22,7 @@ from .license_rules import rules, wide
 #: Base phrases and their labels.
 BASE = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
 #: Some stem of each rule and phrase stands in every text that it matches.
-STEMS = r"(?i)licen[cs]e|\bcc[^0-9a-z\x{80}-\x{10FFFF}]+by\b|permission|redistribut|copyright|public[^0-9a-z\x{80}-\x{10FFFF}]+domain|rights|origin|[^0-9a-z\x{80}-\x{10FFFF}]under[^0-9a-z\x{80}-\x{10FFFF}]|^under[^0-9a-z\x{80}-\x{10FFFF}]|spdx"
+STEMS = r"(?i)licen[cs]e|(?:^|[^0-9a-z\x{80}-\x{10FFFF}])cc[^0-9a-z\x{80}-\x{10FFFF}]+by[^0-9a-z\x{80}-\x{10FFFF}]|permission|redistribut|copyright|public[^0-9a-z\x{80}-\x{10FFFF}]+domain|rights|origin|[^0-9a-z\x{80}-\x{10FFFF}]under[^0-9a-z\x{80}-\x{10FFFF}]|^under[^0-9a-z\x{80}-\x{10FFFF}]|spdx"
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 DETECTIONS = "array<struct<start:int,end:int,priority:int,rule:string,label:string>>"
