@@ -4,7 +4,8 @@ Rules allow or block a host (and its subdomains) and a path prefix; the longest
 decides. Urls that no rule fits take part in redirect equivalence: redirects (meta refresh,
 or given pairs) and canonical links are edges, distributed connected components join aliases,
 and a component that holds a blocked url is blocked, unless it holds an explicitly allowed
-one: allow takes precedence.
+one: allow takes precedence. Targets are read with their entities decoded, and relative ones
+against the url of their page.
 
 Scale: rules are a parameter of at most MAX_RULES, evaluated as an expression. Pages without
 an edge never shuffle beyond one join on their url; components are found on edges alone.
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from .common import connected_components
 
 MAX_RULES = 1000
+ENTITIES = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'"}
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Fixed values: (rule, verdict) of the production query.
 RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
@@ -52,8 +54,47 @@ def best_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> Colum
     return F.array_max(F.array(*fits)) if fits else F.lit(None).cast("struct<size:int,allow:int,rule:string>")
 
 
+def decoded(text: Column) -> Column:
+    """text with its entities, the five of XML and numeric ones, read once; others stay."""
+    code = lambda x: F.when(x.rlike("^&#[xX]"), F.conv(F.regexp_extract(x, "^&#[xX]([0-9a-fA-F]+)", 1), 16, 10)).otherwise(F.regexp_extract(x, "^&#([0-9]+)", 1)).cast("long")
+
+    def one(x: Column) -> Column:
+        out = F.when(x.rlike("^&#"), F.when(code(x).between(1, 0xD7FF) | code(x).between(0xE000, 0x10FFFF), F.decode(F.unhex(F.lpad(F.hex(code(x)), 8, "0")), "UTF-32")).otherwise(x))
+        for name, sign in ENTITIES.items():
+            out = out.when(x == name, sign)
+        return out.otherwise(x)
+
+    parts = F.regexp_extract_all(text, F.lit("(?s)&(?:#[xX][0-9a-fA-F]{1,6}|#[0-9]{1,7}|amp|lt|gt|quot|apos);|[^&]+|&"), F.lit(0))
+    return F.when(text.contains("&"), F.array_join(F.transform(parts, one), "")).otherwise(text)
+
+
+def without_dots(path: Column) -> Column:
+    """A path from its root, `.` and `..` worked off; one `..` too many stays at the root."""
+    parts = F.split(F.substring(path, F.lit(2), F.length(path)), "/", -1)
+    step = lambda kept, x: F.when(x == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))).when(x == ".", kept).otherwise(F.array_append(kept, x))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    folder = F.element_at(parts, -1).isin(".", "..") & (F.size(kept) > 0)
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(folder, "/").otherwise(""))
+
+
+def resolved(target: Column, url: Column) -> Column:
+    """The url that a link's target names on the page url; null where it has another scheme's form (mailto:, data:)."""
+    root, path = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1), path_of(url)
+    own, rest = F.regexp_extract(target, r"(?s)^([^?#]*)", 1), F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    beside = F.concat(F.lit("/"), F.regexp_extract(path, r"(?s)^/(.*/)?", 1), own)
+    return (
+        F.when(target.rlike(r"^(?:[A-Za-z][A-Za-z0-9+.-]*)?://"), target)
+        .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None).cast("string"))
+        .when(target.startswith("//"), F.concat(F.regexp_extract(url, r"(?s)^(.*?:)//", 1), target))
+        .when(target.startswith("/"), F.concat(root, without_dots(own), rest))
+        .when(target.startswith("?"), F.concat(root, path, target))
+        .when(target.startswith("#"), F.concat(F.regexp_extract(url, r"(?s)^([^#]*)", 1), target))
+        .otherwise(F.concat(root, without_dots(beside), rest))
+    )
+
+
 def link_targets(html: Column, url: Column) -> Column:
-    """Absolute targets of canonical links and of meta refreshes, as an array."""
+    """Absolute targets of canonical links and of meta refreshes, as an array; null where there is none."""
     tag = F.regexp_extract_all(html, F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0))
     canonical = F.filter(tag, lambda t: t.rlike(r"(?is)^<link\b[^>]*\brel\s*=\s*[\"']?canonical\b"))
     refresh = F.filter(tag, lambda t: t.rlike(r"(?is)^<meta\b[^>]*http-equiv\s*=\s*[\"']?refresh\b"))
@@ -61,17 +102,13 @@ def link_targets(html: Column, url: Column) -> Column:
         F.transform(canonical, lambda t: F.regexp_extract(t, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)),
         F.transform(refresh, lambda t: F.regexp_extract(t, r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)),
     )
-    scheme, root = F.regexp_extract(url, r"(?s)^(.*?:)//", 1), F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
-    return F.transform(
-        F.filter(found, lambda t: t != ""),
-        lambda t: F.when(t.startswith("//"), F.concat(scheme, t)).when(t.startswith("/"), F.concat(root, t)).otherwise(F.replace(t, F.lit("&amp;"), F.lit("&"))),
-    )
+    return F.transform(F.filter(found, lambda t: t != ""), lambda t: resolved(decoded(t), url))
 
 
 def page_links(pages: DataFrame) -> DataFrame:
     """(source, target) urls of pages (url, html)."""
     some = F.col("html").rlike(r"(?i)canonical|refresh")
-    return pages.where(some & F.col("url").contains("://")).select(F.col("url").alias("source"), F.explode(link_targets(F.col("html"), F.col("url"))).alias("target")).where("contains(target, '://')")
+    return pages.where(some & F.col("url").contains("://")).select(F.col("url").alias("source"), F.explode(link_targets(F.col("html"), F.col("url"))).alias("target")).where("target is not null")
 
 
 def url_filter(pages: DataFrame, rules: list[tuple[str, str]] = RULES, redirects: DataFrame | None = None, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
