@@ -30,7 +30,7 @@ from .common import LOWER, PLAIN_WORDS, Hasher, mix, ranges, small_batches, step
 
 WINDOW = 10
 MAX_BENCHMARK_BYTES = 16 << 20
-#: Limits of the filter: a span longer than this many words goes; so does a document that is hit in more than this share of its words.
+#: Limits of the filter: a span longer than this many words goes, and every occurrence of a whole item shorter than a window; so does a document that is hit in more than this share of its words.
 MAX_SPAN_WORDS, MAX_COVERAGE = 9, 0.5
 U64 = np.uint64
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -144,11 +144,11 @@ class Automaton:
                         yield at, size, (item,)
 
     def scan(self, data: np.ndarray, offsets: np.ndarray):
-        """(starts, ends, words by document, hit flag of each word, {document: items}) of lower-cased bytes."""
+        """(starts, ends, words by document, hit flag of each word, flag of words in a whole short item, {document: items}) of lower-cased bytes."""
         starts, ends, words = word_spans(data, offsets, PLAIN_WORDS)
-        hit, found = np.zeros(len(starts), bool), {}
+        hit, whole, found = np.zeros(len(starts), bool), np.zeros(len(starts), bool), {}
         if not len(starts) or not len(self.word_hash):
-            return starts, ends, words, hit, found
+            return starts, ends, words, hit, whole, found
         h = Hasher(data).of(starts, ends)
         at = np.minimum(np.searchsorted(self.word_hash, h), len(self.word_hash) - 1)
         known = self.word_hash[at] == h
@@ -167,8 +167,10 @@ class Automaton:
         for a, b in zip(begin[enough].tolist(), stop[enough].tolist()):
             for place, size, items in self.stream(number[a:b].tolist()):
                 hit[a + place + 1 - size : a + place + 1] = True
+                if size < self.window:
+                    whole[a + place + 1 - size : a + place + 1] = True
                 found.setdefault(int(doc[a]), set()).update(items)
-        return starts, ends, words, hit, found
+        return starts, ends, words, hit, whole, found
 
 
 def automata(benchmark: DataFrame, window: int, most_bytes: int = MAX_BENCHMARK_BYTES) -> list[Automaton]:
@@ -189,13 +191,13 @@ DDL = "doc_id long, n_words long, n_hit long, items array<string>, spans array<s
 
 
 def united(machines: list[Automaton], data: np.ndarray, offsets: np.ndarray):
-    hit, named = None, {}
+    hit, whole, named = None, None, {}
     for m in machines:
-        starts, ends, words, own, found = m.scan(data, offsets)
-        hit = own if hit is None else hit | own
+        starts, ends, words, own, short, found = m.scan(data, offsets)
+        hit, whole = (own, short) if hit is None else (hit | own, whole | short)
         for d, items in found.items():
             named.setdefault(d, []).extend(m.items[i] for i in items if m.items[i] is not None)
-    return starts, ends, words, hit, named
+    return starts, ends, words, hit, whole, named
 
 
 def scanner(machines):
@@ -203,7 +205,7 @@ def scanner(machines):
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
             for i, j, d, o in steps(data, offsets):
-                starts, ends, words, hit, named = united(machines.value, LOWER[d], o)
+                starts, ends, words, hit, _, named = united(machines.value, LOWER[d], o)
                 doc = np.repeat(np.arange(j - i), words)
                 apart = np.concatenate(([True], doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, bool)
                 new = np.flatnonzero(hit & (apart | ~np.concatenate(([False], hit[:-1]))))
@@ -232,7 +234,7 @@ def cleaner(machines, max_span_words: int, max_coverage: float, at: int):
             data, offsets = text_buffers(batch.column(at))
             texts, keep = [], []
             for i, j, d, o in steps(data, offsets):
-                starts, ends, words, hit, _ = united(machines.value, LOWER[d], o)
+                starts, ends, words, hit, whole, _ = united(machines.value, LOWER[d], o)
                 word_at = np.concatenate(([0], np.cumsum(words)))
                 flagged = np.flatnonzero(np.diff(np.concatenate(([0], np.cumsum(hit)))[word_at]))
                 cut = {}
@@ -243,11 +245,15 @@ def cleaner(machines, max_span_words: int, max_coverage: float, at: int):
                     if own.sum() > max_coverage * (b - a):
                         cut[k] = None
                         continue
-                    raw, out, last = d[o[k] : o[k + 1]].tobytes(), [], 0
+                    gone = np.concatenate(([False], whole[a:b], [False]))
                     for x, y in zip(new.tolist(), stop.tolist()):
                         if y - x + 1 > max_span_words:
-                            out.append(raw[last : starts[x] - o[k]])
-                            last = int(ends[y] - o[k])
+                            gone[x - a + 1 : y - a + 2] = True
+                    new, stop = np.flatnonzero(gone[1:] & ~gone[:-1]) + a, np.flatnonzero(gone[:-1] & ~gone[1:]) - 1 + a
+                    raw, out, last = d[o[k] : o[k + 1]].tobytes(), [], 0
+                    for x, y in zip(new.tolist(), stop.tolist()):
+                        out.append(raw[last : starts[x] - o[k]])
+                        last = int(ends[y] - o[k])
                     cut[k] = b"".join([*out, raw[last:]]).decode()
                 texts += [cut.get(k, False) for k in range(j - i)]
             keep = [t is not None for t in texts]
@@ -261,7 +267,7 @@ def cleaner(machines, max_span_words: int, max_coverage: float, at: int):
 
 
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_span_words: int = MAX_SPAN_WORDS, max_coverage: float = MAX_COVERAGE, text_column: str = "text") -> DataFrame:
-    """docs with its own columns: hit spans of more than max_span_words words are cut out of the text, and a document hit in more than max_coverage of its words goes. Documents without a hit stay as they are."""
+    """docs with its own columns: hit spans of more than max_span_words words, and whole items shorter than a window, are cut out of the text, and a document hit in more than max_coverage of its words goes. Documents without a hit stay as they are."""
     spark = docs.sparkSession
     small_batches(spark)
     machines = spark.sparkContext.broadcast(automata(benchmark, window))
