@@ -65,7 +65,7 @@ def op8_toxicity(spark, sf_dir):
 
 
 def op9_line_dedup(spark, sf_dir):
-    return line_classes(table(spark, sf_dir, "documents"), shortest=1).drop("line_hash")
+    return line_classes(table(spark, sf_dir, "documents"), shortest=1)
 
 
 def op10_ngram_join(spark, sf_dir):
