@@ -191,7 +191,7 @@ def entropy(s, d):
     return p.groupBy("user_id").agg(F.round(-F.sum(F.col("p") * F.log2("p")) + 0.0, 4).alias("h"))
 
 
-CLUSTERS_SQL = "with recursive d as (select distinct c_nationkey focus, o_orderkey pub, l_suppkey partner from orders join customer on c_custkey = o_custkey join lineitem on l_orderkey = o_orderkey where o_orderkey % 40 = 0), e as (select distinct a.focus, a.pub x, b.pub y from d a join d b on a.focus = b.focus and a.partner = b.partner), w(focus, pub, low) as (select focus, x, x from e union select w.focus, e.y, w.low from w join e on e.focus = w.focus and e.x = w.pub), c as (select focus, pub, min(low) as cluster from w group by all)"
+CLUSTERS_SQL = "with recursive d as (select distinct c_nationkey focus, o_orderkey pub, l_suppkey partner from orders join customer on c_custkey = o_custkey join lineitem on l_orderkey = o_orderkey), e as (select distinct a.focus, a.partner x, b.partner y from d a join d b on a.focus = b.focus and a.pub = b.pub), w(focus, x, y) as (select focus, x, y from e union select w.focus, w.x, e.y from w join e on e.focus = w.focus and e.x = w.y), m as (select focus, partner, min(pub) low from d group by all), l as (select w.focus, w.x partner, min(low) low from w join m on m.focus = w.focus and m.partner = w.y group by all), c as (select d.focus, pub, min(low) as cluster from d join l on l.focus = d.focus and l.partner = d.partner group by all)"
 
 
 def clustered(s, d):
