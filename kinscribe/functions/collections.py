@@ -34,7 +34,8 @@ def merge_maps(a: Column, b: Column) -> Column:
 
 
 def index_of_max(a: Column) -> Column:
-    return F.coalesce(F.array_position(a, F.array_max(a)) - 1, F.lit(-1))
+    """First place of the greatest value that is neither null nor zero; -1 where there is none."""
+    return F.coalesce(F.array_position(a, F.array_max(F.filter(a, lambda x: x != 0))) - 1, F.lit(-1))
 
 
 def bits(x: Column, n: int) -> Column:

@@ -19,10 +19,15 @@ def syllables(part: Column, table: Column) -> Column:
     return F.when(F.array_contains(table, part), 1).when(cuts, 2)
 
 
-def pinyin_length(name: Column, table: Column) -> Column:
-    """Syllables of a two-part name whose parts are both in the table, 2 or 3 together; else 0."""
+def pinyin_length(name: Column, table: Column, surnames: Column | None = None) -> Column:
+    """Syllables of a two-part name whose parts are both in the table, 2 or 3 together; else 0. Parts among the two-syllable surnames count as one."""
     p = F.split(F.replace(F.lower(name), F.lit("-"), F.lit("")), r"\s+")
-    n = syllables(p[0], table) + F.least(syllables(p[1], table), F.lit(2))
+
+    def count(part: Column) -> Column:
+        n = syllables(part, table)
+        return n if surnames is None else F.when(n.isNotNull() & F.array_contains(surnames, part), 1).otherwise(n)
+
+    n = count(F.get(p, 0)) + count(F.get(p, 1))
     return F.when((F.size(p) == 2) & n.between(2, 3), n).otherwise(0)
 
 

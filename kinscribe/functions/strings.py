@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Entities that are restored, and what ends of terms lose.
-ENTITIES = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " "}
+ENTITIES = {"&amp;": "&", "&quot;": '"', "&apos;": "'", "&lt;": "<", "&gt;": ">", "&nbsp;": " ", "&times;": "*", "&reg;": "", "&micro;": "mu", "&mdash;": "-", "&lgr;": "lambda", "&sgr;": "sigma"}
 PUNCTUATION = " .,;:!?'\"()[]{}-"
 
 
