@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,18 +16,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def ancestors(edges: DataFrame, max_depth: int = 40) -> DataFrame:
-    """(node, ancestor, depth) with the least depth; cycles end at what is known. edges: parent, child."""
+def ancestors(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(node, ancestor, depth) with the least depth; cycles end at what is known. edges: parent, child.
+
+    Goes on until nothing is new; where max_depth is given and ancestors lie beyond it, it raises."""
     e = edges.select("parent", "child").where("parent != child").distinct()
     known = frontier = checkpointed(e.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).cast("long").alias("depth")))
-    for depth in range(2, max_depth + 1):
+    for depth in count(2):
         up = e.withColumnsRenamed({"child": "ancestor", "parent": "higher"})
         step = frontier.join(up, "ancestor").select("node", F.col("higher").alias("ancestor")).where("node != ancestor").distinct()
         frontier = checkpointed(step.join(known, ["node", "ancestor"], "left_anti").withColumn("depth", F.lit(depth).cast("long")))
         if frontier.isEmpty():
-            break
+            return known
+        if max_depth is not None and depth > max_depth:
+            raise RuntimeError(f"ancestors lie beyond max_depth={max_depth}")
         known = checkpointed(known.unionAll(frontier))
-    return known
 
 
 def least_common_subsumer(closure: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -44,17 +48,20 @@ def information_content(freq: DataFrame, closure: DataFrame) -> DataFrame:
     return own.unionAll(up).groupBy("term").agg(F.sum("freq").alias("freq")).crossJoin(F.broadcast(total)).select("term", "freq", F.when(F.col("freq") > 0, F.round(F.log("mc") - F.log("freq"), 4)).otherwise(-1.0).alias("ic"))
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component) by minimum labels with pointer jumping; edges (a, b)."""
+def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(node, component) by minimum labels with pointer jumping, until they settle; edges (a, b).
+
+    Where rounds is given and too few, it raises."""
     e = edges.select("a", "b").where("a != b")
     e = checkpointed(e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     label = checkpointed(e.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")))
-    for _ in range(rounds):
+    for k in count(1):
         near = e.join(label.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("m"))
         low = label.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("component").alias("old"), F.least("component", "m").alias("c"))
         jump = label.select(F.col("node").alias("c"), F.col("component").alias("far"))
         new = checkpointed(low.join(jump, "c", "left").select("node", "old", F.least("c", F.coalesce("far", "c")).alias("component")))
         if new.where("old != component").isEmpty():
-            break
+            return label
+        if rounds is not None and k >= rounds:
+            raise RuntimeError(f"components did not settle in {rounds} rounds")
         label = new.select("node", "component")
-    return label
