@@ -14,7 +14,8 @@ of one document only, most of them, end there. A document that shares under PERC
 shingles with any other can have no partner and goes no further. Documents with equal sets are
 one item. The rest is similarity.py.
 
-Hashes of 48 bits beside the shard's number stand for shingles.
+A shingle's 64-bit hash is dealt by its remainder of the number of shards; the quotient's lowest 48
+bits, all of it from 65536 shards up, stand for the shingle within its shard, at any number of shards.
 
 Defined cases: null, empty or wordless text has an empty set and links with nothing; under WORDS
 words the whole sequence is the one shingle; rows with a null doc_id get a null component; rows
@@ -36,6 +37,8 @@ from .similarity import similar_links
 
 WORDS, PERCENT, LEVELS = 4, 85, 6
 U64 = np.uint64
+#: What of a hash's quotient by the number of shards is kept; beside the shard it makes a token of 64 bits.
+REST = U64((1 << 48) - 1)
 ORDER = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
 
 
@@ -84,7 +87,7 @@ def send_shingles(shards: int, width: int = WORDS):
             out = []
             for s, x in by_shard((keys % U64(shards)).astype(np.int64)):
                 who, n = np.unique(doc[x], return_counts=True)
-                out.append((s, pack(ids[who], n.astype(np.uint32), counts[who].astype(np.uint32), keys[x] >> U64(16))))
+                out.append((s, pack(ids[who], n.astype(np.uint32), counts[who].astype(np.uint32), keys[x] // U64(shards) & REST)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.int64()), pa.array([b for _, b in out], pa.binary())], ["shard", "payload"])
 
@@ -103,7 +106,7 @@ def shared_shingles(homes: int):
         often = np.empty(len(keys), np.int64)
         often[order] = np.repeat(size, size)
         place = np.flatnonzero(often > 1)
-        token = (keys[place] | U64((shard & 0xFFFF) << 48)).view(np.int64)
+        token = (keys[place] * U64(homes) + U64(shard)).view(np.int64)
         row, often = row[place], np.minimum(often[place], 0xFFFFFFFF).astype(np.uint32)
         out = []
         for h, x in by_shard((mix(ids[row].view(np.uint64)) % U64(homes)).astype(np.int64)):
@@ -169,14 +172,12 @@ def sizes(width: int):
     return run
 
 
-def ngram_jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def ngram_jaccard_join(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = WORDS, percent: int = PERCENT, shard_bytes: int = 12 << 20) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document, for shingles of so many words and links from so many percent; see the module."""
     spark = docs.sparkSession
     small_batches(spark)
     pick = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    shards = pieces(spark, text_bytes(pick), 12 << 20)
-    if shards > 0xFFFF:
-        raise ValueError("over 65535 shards: give a larger target")
+    shards = pieces(spark, text_bytes(pick), shard_bytes)
     sent = pick.where("doc_id is not null").mapInArrow(send_shingles(shards, words), "shard long, payload binary")
     homes = sent.groupBy("shard").applyInArrow(shared_shingles(shards), "shard long, payload binary")
     found = checkpointed(homes.groupBy("shard").applyInArrow(gather(percent), ITEM_DDL))
