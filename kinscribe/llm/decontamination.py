@@ -6,9 +6,11 @@ window is `window` consecutive words of an item (a shorter item is one window);
 any occurrence of a window are hit. Only stretches of words whose neighbouring pairs occur in
 some item reach the automaton; numpy finds them by hash, the automaton decides exactly.
 
-Scale: no shuffle. The benchmark is the one broadcast; its size is measured first, and above
-MAX_BENCHMARK_BYTES it is cut by item into automata of that size, over each of which the
-documents are scanned in turn (hits are united).
+Scale: no shuffle. Items stream to the driver and fill one automaton of MAX_BENCHMARK_BYTES at a
+time, the only broadcast at that time. A larger benchmark takes several passes: each pass scans the
+documents with one automaton and writes their hits beside them, the last one unites all. So neither
+driver nor executors hold more than one automaton, whatever the benchmark's size; an item above the
+bound makes one of its own.
 
 Defined cases: null, empty or wordless text has no words and no hits; null, empty or wordless
 items have no window and hit nothing; items that repeat are separate items and all are named;
@@ -20,16 +22,19 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import LOWER, PLAIN_WORDS, Hasher, mix, ranges, small_batches, steps, text_buffers, word_spans
+from .common import LOWER, PLAIN_WORDS, Hasher, checkpointed, small_batches, steps, text_buffers, word_spans
 
 WINDOW = 10
-MAX_BENCHMARK_BYTES = 16 << 20
+#: UTF-8 bytes of the items of one automaton: a million words at the very most, and two states a word.
+MAX_BENCHMARK_BYTES = 2 << 20
 #: Limits of the filter: a span longer than this many words goes, and every occurrence of a whole item shorter than a window; so does a document that is hit in more than this share of its words.
 MAX_SPAN_WORDS, MAX_COVERAGE = 9, 0.5
 U64 = np.uint64
@@ -173,39 +178,99 @@ class Automaton:
         return starts, ends, words, hit, whole, found
 
 
-def automata(benchmark: DataFrame, window: int, most_bytes: int = MAX_BENCHMARK_BYTES) -> list[Automaton]:
-    """One automaton, or several of most_bytes each where the measured benchmark is larger."""
+def each_automaton(benchmark: DataFrame, window: int, most_bytes: int = MAX_BENCHMARK_BYTES) -> Iterator[Automaton]:
+    """Automata over most_bytes of items each, one after the other; an empty one of an empty benchmark."""
     table = benchmark.select(F.col(benchmark.columns[0]).cast("string"), F.col(benchmark.columns[1]).cast("string"))
-    parts, held, out = [], 0, []
+    parts, held, none = [], 0, True
     for name, text in table.toLocalIterator(prefetchPartitions=False):
+        size = len((text or "").encode())
+        if parts and held + size > most_bytes:
+            yield Automaton(parts, window)
+            parts, held, none = [], 0, False
         parts.append((name, words_of(text)))
-        held += len(text or "")
-        if held >= most_bytes:
-            out.append(Automaton(parts, window))
-            parts, held = [], 0
-    return [*out, Automaton(parts, window)] if parts or not out else out
+        held += size
+    if parts or none:
+        yield Automaton(parts, window)
+
+
+def automata(benchmark: DataFrame, window: int, most_bytes: int = MAX_BENCHMARK_BYTES) -> list[Automaton]:
+    """All of each_automaton at once, for benchmarks that are known to be small."""
+    return list(each_automaton(benchmark, window, most_bytes))
 
 
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("words", pa.int64())])))])
 DDL = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long, words: long>>"
 
 
-def united(machines: list[Automaton], data: np.ndarray, offsets: np.ndarray):
-    hit, whole, named = None, None, {}
-    for m in machines:
-        starts, ends, words, own, short, found = m.scan(data, offsets)
-        hit, whole = (own, short) if hit is None else (hit | own, whole | short)
-        for d, items in found.items():
-            named.setdefault(d, []).extend(m.items[i] for i in items if m.items[i] is not None)
+MARKS = T.StructType([T.StructField("hit", T.BinaryType()), T.StructField("whole", T.BinaryType()), T.StructField("items", T.ArrayType(T.StringType()))])
+MARK_TYPES = [pa.binary(), pa.binary(), pa.list_(pa.string())]
+
+
+def packed(flags: np.ndarray, words: np.ndarray) -> list[bytes | None]:
+    """The flags of each document's words as bits; None where there is none."""
+    at = np.concatenate(([0], np.cumsum(words))).tolist()
+    return [np.packbits(flags[a:b]).tobytes() if flags[a:b].any() else None for a, b in zip(at, at[1:])]
+
+
+def unpacked(bits: list[bytes | None], words: np.ndarray) -> np.ndarray:
+    out = np.zeros(int(words.sum()), bool)
+    at = np.cumsum(words) - words
+    for a, n, x in zip(at.tolist(), words.tolist(), bits):
+        if x is not None:
+            out[a : a + n] = np.unpackbits(np.frombuffer(x, np.uint8), count=n)
+    return out
+
+
+def united(machine: Automaton, data: np.ndarray, offsets: np.ndarray, before: list[list]):
+    """What the automaton finds, with the marks of earlier passes over these documents, if there are any."""
+    starts, ends, words, hit, whole, found = machine.scan(data, offsets)
+    named = {d: [machine.items[i] for i in items if machine.items[i] is not None] for d, items in found.items()}
+    if before:
+        hit, whole = hit | unpacked(before[0], words), whole | unpacked(before[1], words)
+        for d, names in enumerate(before[2]):
+            if names:
+                named[d] = [*names, *named.get(d, ())]
     return starts, ends, words, hit, whole, named
 
 
-def scanner(machines):
+def marks_of(batch: pa.RecordBatch, width: int, i: int, j: int) -> list[list]:
+    return [c.slice(i, j - i).to_pylist() for c in batch.columns[width:]]
+
+
+def marker(machine, width: int, at: int):
+    def run(batches):
+        for batch in batches:
+            data, offsets = text_buffers(batch.column(at))
+            marks = [[], [], []]
+            for i, j, d, o in steps(data, offsets):
+                _, _, words, hit, whole, named = united(machine.value, LOWER[d], o, marks_of(batch, width, i, j))
+                for held, new in zip(marks, (packed(hit, words), packed(whole, words), [named.get(k) for k in range(j - i)])):
+                    held += new
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], *(pa.array(m, t) for m, t in zip(marks, MARK_TYPES))], names=[*batch.schema.names[:width], *MARKS.names])
+
+    return run
+
+
+def passes(docs: DataFrame, benchmark: DataFrame, window: int, at: int, most_bytes: int):
+    """(docs by column numbers, with the marks of all automata but the last, if there are more; the last automaton's broadcast)."""
+    spark, width = docs.sparkSession, len(docs.columns)
+    small_batches(spark)
+    docs = docs.toDF(*(f"c{i}" for i in range(width)))
+    schema, shared = T.StructType([*docs.schema.fields, *MARKS.fields]), None
+    for machine in each_automaton(benchmark, window, most_bytes):
+        if shared is not None:
+            docs = checkpointed(docs.mapInArrow(marker(shared, width, at), schema))
+            shared.unpersist()
+        shared = spark.sparkContext.broadcast(machine)
+    return docs, shared
+
+
+def scanner(machine):
     def run(batches):
         for batch in batches:
             data, offsets = text_buffers(batch.column(1))
             for i, j, d, o in steps(data, offsets):
-                starts, ends, words, hit, _, named = united(machines.value, LOWER[d], o)
+                starts, ends, words, hit, _, named = united(machine.value, LOWER[d], o, marks_of(batch, 2, i, j))
                 doc = np.repeat(np.arange(j - i), words)
                 apart = np.concatenate(([True], doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, bool)
                 new = np.flatnonzero(hit & (apart | ~np.concatenate(([False], hit[:-1]))))
@@ -220,21 +285,20 @@ def scanner(machines):
     return run
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_column: str = "doc_id", text_column: str = "text", most_bytes: int = MAX_BENCHMARK_BYTES) -> DataFrame:
     """(doc_id, n_words, n_hit, items, spans) of every document; spans are byte ranges of runs of hit words. benchmark: its first two selected columns are item and text."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    machines = spark.sparkContext.broadcast(automata(benchmark, window))
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).mapInArrow(scanner(machines), DDL)
+    own = docs.select(F.col(id_column).cast("long"), F.col(text_column).cast("string"))
+    own, machine = passes(own, benchmark, window, 1, most_bytes)
+    return own.mapInArrow(scanner(machine), DDL)
 
 
-def cleaner(machines, max_span_words: int, max_coverage: float, at: int):
+def cleaner(machine, max_span_words: int, max_coverage: float, width: int, at: int):
     def run(batches):
         for batch in batches:
             data, offsets = text_buffers(batch.column(at))
             texts, keep = [], []
             for i, j, d, o in steps(data, offsets):
-                starts, ends, words, hit, whole, _ = united(machines.value, LOWER[d], o)
+                starts, ends, words, hit, whole, _ = united(machine.value, LOWER[d], o, marks_of(batch, width, i, j))
                 word_at = np.concatenate(([0], np.cumsum(words)))
                 flagged = np.flatnonzero(np.diff(np.concatenate(([0], np.cumsum(hit)))[word_at]))
                 cut = {}
@@ -259,19 +323,19 @@ def cleaner(machines, max_span_words: int, max_coverage: float, at: int):
             keep = [t is not None for t in texts]
             old = batch.column(at)
             new = [None if t is None else old[k].as_py() if t is False else t for k, t in enumerate(texts)]
-            columns = list(batch.columns)
+            columns = list(batch.columns[:width])
             columns[at] = pa.array(new, old.type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:width]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_span_words: int = MAX_SPAN_WORDS, max_coverage: float = MAX_COVERAGE, text_column: str = "text") -> DataFrame:
+def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_span_words: int = MAX_SPAN_WORDS, max_coverage: float = MAX_COVERAGE, text_column: str = "text", most_bytes: int = MAX_BENCHMARK_BYTES) -> DataFrame:
     """docs with its own columns: hit spans of more than max_span_words words, and whole items shorter than a window, are cut out of the text, and a document hit in more than max_coverage of its words goes. Documents without a hit stay as they are."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    machines = spark.sparkContext.broadcast(automata(benchmark, window))
-    return docs.mapInArrow(cleaner(machines, max_span_words, max_coverage, docs.columns.index(text_column)), docs.schema)
+    width, at = len(docs.columns), docs.columns.index(text_column)
+    marked, machine = passes(docs, benchmark, window, at, most_bytes)
+    plain = T.StructType(marked.schema.fields[:width])
+    return marked.mapInArrow(cleaner(machine, max_span_words, max_coverage, width, at), plain).toDF(*docs.columns)
 
 
 def items_digest(items: list[str]) -> str:
