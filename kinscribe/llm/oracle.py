@@ -1,4 +1,4 @@
-"""DuckDB SQL of the training-data queries that SQL can say on whole tables (2, 3, 5 and 10).
+"""DuckDB SQL of the training-data queries that SQL can say on whole tables (2, 3, 5, 10 and 11).
 
 The others have none: 1 needs a row for each byte, 4 and 6 token ids, 7 hundreds of patterns
 with intervals, 8 a trained model, and 9 finds pairs by MinHash; they are tested against brute
@@ -6,6 +6,7 @@ force, exact round trips or held-out accuracy."""
 
 from __future__ import annotations
 
+from .oracle_change_points import OP11
 from .quality_rules import LINE_CHAR_LIMIT, LINE_LIMIT, MIN_WORDS, NGRAM_LIMITS, REPEAT_PERCENT
 from .url_filters import LOWER, RULES, UPPER
 
@@ -92,4 +93,4 @@ select d.doc_id, coalesce(n, 0)::bigint as n_shingles, coalesce(component_id, d.
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": OP2, "op3_url_filters": OP3, "op5_decontamination": OP5, "op10_ngram_join": OP10}
+    return {"op2_quality_rules": OP2, "op3_url_filters": OP3, "op5_decontamination": OP5, "op10_ngram_join": OP10, "op11_change_points": OP11}

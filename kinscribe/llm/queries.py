@@ -1,10 +1,11 @@
-"""The ten queries over the tables of a folder, and the pipeline; oracle.py has DuckDB SQL where SQL can say it."""
+"""The queries of the numbered operators over the tables of a folder, and the pipeline; oracle.py has DuckDB SQL where SQL can say it."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .change_points import change_points
 from .decontamination import find_contamination
 from .license_scan import license_scan
 from .line_dedup import line_classes
@@ -72,6 +73,11 @@ def op10_ngram_join(spark, sf_dir):
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op11_change_points(spark, sf_dir):
+    lines = table(spark, sf_dir, "sale_lines").where("flag in ('kept', 'swapped')")
+    return change_points(lines, "vendor_id", "shipped_at", "quantity").withColumnRenamed("key", "vendor_id")
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -79,5 +85,5 @@ def pipeline(spark, sf_dir):
 
 
 def queries() -> dict:
-    found = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_rules, op3_url_filters, op4_token_counts, op5_decontamination, op6_packing, op7_license_scan, op8_toxicity, op9_line_dedup, op10_ngram_join)}
+    found = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_rules, op3_url_filters, op4_token_counts, op5_decontamination, op6_packing, op7_license_scan, op8_toxicity, op9_line_dedup, op10_ngram_join, op11_change_points)}
     return {**found, "pipeline": pipeline}

@@ -9,7 +9,7 @@ SF = "/root/testdata/sf0.01"
 @pytest.mark.parametrize("name", list(oracle_sql()))
 def test_equals_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "sale_lines"):
         c.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got, want = queries()[name](spark, SF), c.execute(oracle_sql()[name])
     columns = [x[0] for x in want.description]
