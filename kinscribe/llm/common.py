@@ -184,14 +184,22 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to the reliable checkpoint folder and read from there: lineage ends here.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's shared folder: the one that the cluster names in spark.checkpoint.dir.
 
-    The folder is the one that the cluster names in spark.checkpoint.dir; only where none is
-    set (tests on one machine) a temporary folder is taken."""
-    sc = df.sparkSession.sparkContext
+    Only where none is set and executors are on this machine (tests) a temporary folder is taken."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.split("[")[0] == "local":
+            raise RuntimeError("a cluster has to name a shared folder in spark.checkpoint.dir")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, written to the reliable checkpoint folder and read from there: lineage ends here."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

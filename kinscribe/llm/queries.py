@@ -17,6 +17,7 @@ from .suffix_dedup import suffix_dedup
 from .token_counts import count_tokens, flat_blocks
 from .toxicity import toxicity_scores
 from .url_filters import url_filter
+from .warc import archive_round_trip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +79,10 @@ def op11_change_points(spark, sf_dir):
     return change_points(lines, "vendor_id", "shipped_at", "quantity").withColumnRenamed("key", "vendor_id")
 
 
+def op13_warc(spark, sf_dir):
+    return archive_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -85,5 +90,5 @@ def pipeline(spark, sf_dir):
 
 
 def queries() -> dict:
-    found = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_rules, op3_url_filters, op4_token_counts, op5_decontamination, op6_packing, op7_license_scan, op8_toxicity, op9_line_dedup, op10_ngram_join, op11_change_points)}
+    found = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_rules, op3_url_filters, op4_token_counts, op5_decontamination, op6_packing, op7_license_scan, op8_toxicity, op9_line_dedup, op10_ngram_join, op11_change_points, op13_warc)}
     return {**found, "pipeline": pipeline}
