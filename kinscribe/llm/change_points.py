@@ -32,78 +32,97 @@ from pyspark.sql import functions as F
 PENALTY, LEAST = 10_000, 5
 DDL = "key long, segment_no int, first_day long, n_days long, total long, spread long, cost long, n_segments long, best_cost long"
 NAMES = [x.split()[0] for x in DDL.split(", ")]
-#: floor(1000 * ln(V)) of the small spreads, with the same double logarithm as beyond.
-SMALL = np.array([0, *(math.floor(1000 * math.log(v)) for v in range(1, 1 << 16))], np.int64)
+#: floor(1000 * ln(V)) of the small spreads, by V - 1, with the same double logarithm as beyond.
+SMALL = np.array([math.floor(1000 * math.log(v)) for v in range(1, 1 << 16)], np.int64)
+
+
+#: A total of costs and a number of segments share one integer: the total is shifted by so many bits.
+COUNT_BITS = 22
+#: Days after which the range of the sums is looked at again.
+LOOK = 64
 
 
 def levels(spread: np.ndarray) -> np.ndarray:
-    """floor(1000 * ln(V)) of each spread V."""
-    if spread.dtype != object and spread.max() < len(SMALL):
-        return SMALL[spread]
-    return np.array([math.floor(1000 * math.log(v)) for v in spread.tolist()], np.int64)
+    """floor(1000 * ln(V)) of each spread V less one."""
+    if spread.dtype != object:
+        try:
+            return SMALL.take(spread)
+        except IndexError:
+            pass
+    return np.array([math.floor(1000 * math.log(v + 1)) for v in spread.tolist()], np.int64)
 
 
 class Cutter:
-    """The best cut of a series that grows at its end; see the module."""
+    """The best cut of a series that grows at its end; see the module.
+
+    Sums are doubles while every one is an integer below 2**53, where division is exact to the floor, then 64-bit
+    integers below 2**62, then Python's."""
 
     def __init__(self, penalty: int = PENALTY, least: int = LEAST):
         self.penalty, self.least = penalty, least
         self.days, self.largest, self.live = 0, 0, 0
-        self.start = np.zeros(64, np.int64)
-        self.base = np.zeros(64, np.int64)  # best cost before the start, with the penalty of the cut there
-        self.count = np.zeros(64, np.int64)  # segments before it
-        self.s, self.q, self.d = (np.zeros(64, np.int64) for _ in range(3))
+        self.start = np.zeros(192, np.int64)
+        self.base = np.zeros(192, np.int64)  # best cost before the start with the penalty of the cut there, and segments before it
+        self.s2, self.q, self.d = (np.zeros(192) for _ in range(3))  # 2*S, Q and D since the start
         self.sums, self.squares = [0], [0]
-        self.best: list[tuple[int, int, int] | None] = [(0, 0, 0)]  # of each length: cost, segments, last start
+        self.best: list[tuple[int, int] | None] = [(0, 0)]  # of each length: cost and segments, last start
 
     def open(self) -> None:
         """The day to come may start a segment."""
-        if self.live == len(self.start):
-            for name in ("start", "base", "count", "s", "q", "d"):
+        k = self.live
+        if k == len(self.start):
+            for name in ("start", "base", "s2", "q", "d"):
                 old = getattr(self, name)
                 setattr(self, name, np.concatenate((old, np.zeros(len(old), old.dtype))))
-        cost, segments, _ = self.best[self.days]
-        k = self.live
-        self.start[k], self.base[k], self.count[k] = self.days, cost + (self.penalty if self.days else 0), segments
-        self.s[k] = self.q[k] = self.d[k] = 0
+        self.start[k], self.base[k] = self.days, self.best[self.days][0] + ((self.penalty << COUNT_BITS) if self.days else 0) + 1
         self.live += 1
 
+    def fit(self, x: int) -> None:
+        """Widens the sums where the next days, none larger than x or those so far, could leave their range."""
+        self.largest = max(self.largest, abs(x))
+        bound = 4 * ((self.days + 2 + LOOK) * self.largest) ** 2
+        kind = np.dtype(np.float64 if bound < 1 << 53 else np.int64 if bound < 1 << 62 else object)
+        if kind != self.d.dtype:
+            self.s2, self.q, self.d = (np.array([int(v) for v in a], kind) for a in (self.s2, self.q, self.d))
+
     def add(self, x: int) -> None:
         if self.best[self.days] is not None:
             self.open()
-        if abs(x) > self.largest:
-            self.largest = abs(x)
-        if self.s.dtype != object and 4 * ((self.days + 2) * self.largest) ** 2 >= 1 << 62:
-            self.s, self.q, self.d = (a.astype(object) for a in (self.s, self.q, self.d))
-        k = self.live
-        s, q, d, start = self.s[:k], self.q[:k], self.d[:k], self.start[:k]
+        if abs(x) > self.largest or self.days % LOOK == 0:
+            self.fit(x)
+        k, kind = self.live, self.d.dtype
+        n, q, d = self.days - self.start[:k], self.q[:k], self.d[:k]
         d += q
         if x:
-            n = self.days - start
-            d += (n * x - 2 * s) * x if s.dtype != object else (n.astype(object) * x - 2 * s) * x
+            s2 = self.s2[:k]
+            step = n.astype(kind)
+            step *= x
+            step -= s2
+            step *= x
+            d += step
+            s2 += 2 * x
             q += x * x
-            s += x
         self.days += 1
         self.sums.append(self.sums[-1] + x)
         self.squares.append(self.squares[-1] + x * x)
-        k = int(np.searchsorted(start, self.days - self.least, "right"))
-        if not k:
+        if self.days < self.least:
             self.best.append(None)
             return
-        n = self.days - start[:k]
-        spread = 1 + d[:k] // ((n * n).astype(d.dtype) if d.dtype == object else n * n)
-        total = self.base[:k] + n * levels(spread)
-        j = int(total.argmin())
-        ties = np.flatnonzero(total == total[j])
-        if len(ties) > 1:
-            j = int(ties[self.count[ties].argmin()])
-        self.best.append((int(total[j]), int(self.count[j]) + 1, int(start[j])))
+        k = 1 + max(0, self.days - 2 * self.least + 1)  # starts are 0 and all from least on
+        n = n[:k] + 1
+        spread = (d[:k] / (n * n).astype(kind)).astype(np.int64) if kind == np.float64 else d[:k] // (n.astype(kind) ** 2)
+        total = levels(spread)
+        total *= n
+        total <<= COUNT_BITS
+        total += self.base[:k]
+        j = total.argmin()
+        self.best.append((int(total[j]), int(self.start[j])))
 
     def segments(self) -> list[tuple[int, int, int, int, int]]:
         """(first day from 0, days, sum, spread, cost) in order."""
         out, end = [], self.days
         while end:
-            first = self.best[end][2] if self.best[end] else 0
+            first = self.best[end][1] if self.best[end] else 0
             n, s, q = end - first, self.sums[end] - self.sums[first], self.squares[end] - self.squares[first]
             spread = 1 + (n * q - s * s) // (n * n)
             out.append((first, n, s, spread, n * math.floor(1000 * math.log(spread))))
