@@ -14,6 +14,7 @@ from .oracle import oracle_sql  # noqa: F401
 from .packing import pack_documents
 from .quality_rules import repetition_quality
 from .suffix_dedup import suffix_dedup
+from .token_alignment import align_tokens
 from .token_counts import count_tokens, flat_blocks
 from .toxicity import toxicity_scores
 from .url_filters import url_filter
@@ -79,6 +80,12 @@ def op11_change_points(spark, sf_dir):
     return change_points(lines, "vendor_id", "shipped_at", "quantity").withColumnRenamed("key", "vendor_id")
 
 
+def op12_token_alignment(spark, sf_dir):
+    import public_tokenizers
+
+    return align_tokens(table(spark, sf_dir, "documents"), byte_vocabulary(), public_tokenizers.path("piece_bpe_32k.model"), digest=True).withColumnRenamed("groups", "groups_sha256")
+
+
 def op13_warc(spark, sf_dir):
     return archive_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -90,5 +97,5 @@ def pipeline(spark, sf_dir):
 
 
 def queries() -> dict:
-    found = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_rules, op3_url_filters, op4_token_counts, op5_decontamination, op6_packing, op7_license_scan, op8_toxicity, op9_line_dedup, op10_ngram_join, op11_change_points, op13_warc)}
+    found = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_rules, op3_url_filters, op4_token_counts, op5_decontamination, op6_packing, op7_license_scan, op8_toxicity, op9_line_dedup, op10_ngram_join, op11_change_points, op12_token_alignment, op13_warc)}
     return {**found, "pipeline": pipeline}
