@@ -103,21 +103,29 @@ def log_combination(n: float, m: float) -> float:
 
 def sampling_ratio(one: Mapping[str, float], two: Mapping[str, float], known: float = 0.5, unknown: float = 0.5, unseen: float = 0.5, reduction: float = 0.3334, cap: float = 4, floor: float = 0.0) -> float:
     """How much likelier the smaller multiset is as a sample of the larger one than a sample of all
-    multisets of its size over the same outcomes. Outcomes that the larger one lacks are pooled."""
+    multisets of its size over the same outcomes. Outcomes that the larger one lacks are pooled.
+
+    UNKNOWN gets its prior only where the sample holds it; where the larger one lacks it and the sample has pooled
+    outcomes as well, both share the prior of the pool. An outcome without weight makes the ratio 0."""
     base, sample = sorted((dict(one), dict(two)), key=lambda m: (-sum(m.values()), -len(m)))
-    base = {k: v if k == "UNKNOWN" else min(v, cap) for k, v in base.items()}
+    weight = {k: v if k == "UNKNOWN" else min(v, cap) + known for k, v in base.items()}
     pooled = sum(v for k, v in sample.items() if k not in base and k != "UNKNOWN")
     drawn = {k: v for k, v in sample.items() if k in base or k == "UNKNOWN"}
-    weight = {k: v + (unknown if k == "UNKNOWN" else known) for k, v in base.items()}
     weight["UNSEEN"] = unseen
-    if "UNKNOWN" in drawn and "UNKNOWN" not in weight:
-        weight["UNKNOWN"] = unknown or unseen
+    if drawn.get("UNKNOWN"):
+        if weight.get("UNKNOWN") or not pooled:
+            weight["UNKNOWN"] = weight.get("UNKNOWN", 0) + unknown
+        else:
+            weight["UNKNOWN"], weight["UNSEEN"] = (x * unseen / (unknown + unseen) for x in (unknown, unseen))
     pooled -= min(int((sum(drawn.values()) + pooled) * reduction), pooled)
     if pooled:
         drawn["UNSEEN"] = pooled
     n, total = sum(drawn.values()), sum(weight.values())
     if n <= 0:
         return max(1.0, floor)
-    value = lgamma(n + 1) + sum(k * log(weight[o] / total) - lgamma(k + 1) for o, k in drawn.items()) + log_combination(len(weight) + n - 1, n)
-    out = exp(min(value, 700.0))
+    if any(v and not weight[o] for o, v in drawn.items()):
+        out = 0.0
+    else:
+        value = lgamma(n + 1) + sum(k * log(weight[o] / total) - lgamma(k + 1) for o, k in drawn.items() if k) + log_combination(len(weight) + n - 1, n)
+        out = exp(min(value, 700.0))
     return out if out >= floor else floor if 100 * out >= floor else floor / 100

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,38 +19,6 @@ def by_shared_partner(bridge: DataFrame, focus: str, pub: str, partner: str) ->
     return d.select("focus", "pub").distinct().join(c, ["focus", "pub"], "left").withColumn("cluster", F.coalesce("cluster", "pub"))
 
 
-def greedy_jaccard(sets: list[set], threshold: float, floor: float = 0.0001) -> list[int]:
-    """Cluster numbers of sets, merged one after the other: a cluster looks again from the start after each merge."""
-    groups = [([k], set(s)) for k, s in enumerate(sets)]
-    i = 0
-    while i < len(groups):
-        for j in range(len(groups)):
-            a, b = groups[i][1], groups[j][1]
-            if i != j and max(len(a & b) / len(a | b) if a | b else 0.0, floor) >= threshold:
-                low, high = min(i, j), max(i, j)
-                groups[low] = groups[low][0] + groups[high][0], groups[low][1] | groups[high][1]
-                del groups[high]
-                i = low
-                break
-        else:
-            i += 1
-    out = [0] * len(sets)
-    for g, (members, _) in enumerate(groups):
-        for k in members:
-            out[k] = g
-    return out
-
-
-def stage_one(pubs: DataFrame, threshold: float = 0.03) -> DataFrame:
-    """(focus, pub, cluster) of pubs (focus, pub, partners array<string>): greedy merging is order-dependent, so each focus is one group, in order of pub."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pub")
-        return pdf[["focus", "pub"]].assign(cluster=greedy_jaccard([set(x) for x in pdf["partners"]], threshold))
-
-    return pubs.select("focus", "pub", "partners").groupBy("focus").applyInPandas(run, "focus string, pub long, cluster long")
-
-
 def agglomerate(scores, n: int, stop_at: int, threshold: float, merge) -> list[list[int]]:
     """Best pair first, the earliest of equals, until a threshold or a number of clusters; only pairs of the merged cluster are scored again."""
     clusters, at = {k: [k] for k in range(n)}, {}

@@ -2,7 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinscribe.functions.numbers import sampling_ratio
-from kinscribe.operators.clustering import agglomerate, greedy_jaccard, stage_one
+from kinscribe.operators.clustering import agglomerate
+from kinscribe.operators.merging import greedy_jaccard, stage_one
 from kinscribe.sources import records as R
 from kinscribe.streaming.counters import keep_state, latest, running_counts, windowed_counts
 
