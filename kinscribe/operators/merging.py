@@ -2,8 +2,8 @@
 
 A cluster looks for the first other one, in order of position, that it may join, takes it in and looks again from the
 start; what it has taken in is gone. The result depends on order, so a cluster's rule runs over a list. But papers that
-no chain of shared partners links can never meet: each focus is first split into such blocks by distributed components,
-and a block, not a focus, is what one task holds. Within a block an index of partners names the clusters that share
+no chain of shared partners links can never meet: a focus beyond SMALL_FOCUS rows is first split into such blocks by
+distributed components, and a block, not a focus, is what one task holds. Within a block an index of partners names the clusters that share
 one, so that others are never compared.
 
 Clusters are named by the paper they grew from: the one whose position they keep. Order is that of `pub`.
@@ -20,9 +20,15 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.numbers import sampling_ratio
 from .clustering import by_shared_partner
+from .grouped import over_runs
+
+
+#: Rows (papers times partners) up to which a focus is one block without a look at its chains.
+SMALL_FOCUS = 20_000
 
 
 def merged_in_order(sets: list[Counter], may_join: Callable[[Counter, Counter, list], bool]) -> list[int]:
@@ -100,13 +106,17 @@ class EvidenceRule:
         return left if len(left) > 2 else dict(s)
 
 
-def with_blocks(pubs: DataFrame, extra: DataFrame | None = None) -> DataFrame:
-    """pubs (focus, pub, partner) with `block`, the least paper that a chain of shared partners (or of extra ones) reaches."""
+def with_blocks(pubs: DataFrame, extra: DataFrame | None = None, small_focus: int = SMALL_FOCUS) -> DataFrame:
+    """pubs (focus, pub, partner) with `block`: the least paper that a chain of shared partners (or of extra ones)
+    reaches, or null for a focus of at most small_focus rows, which stays whole."""
+    large = pubs.groupBy("focus").agg(F.count("*").alias("n")).where((F.col("n") > small_focus) & F.col("focus").isNotNull()).select("focus")
+    if large.isEmpty():
+        return pubs.withColumn("block", F.lit(None).cast("long"))
     links = pubs.select("focus", "pub", "partner").where("partner is not null")
-    links = links if extra is None else links.unionByName(extra)
+    links = (links if extra is None else links.unionByName(extra)).join(large, "focus", "left_semi")
     blocks = by_shared_partner(links, "focus", "pub", "partner").select(F.col("focus").alias("__f"), F.col("pub").alias("__p"), F.col("cluster").alias("__b"))
-    j = pubs.join(blocks, pubs["focus"].eqNullSafe(blocks["__f"]) & (pubs["pub"] == blocks["__p"]), "left")
-    return j.withColumn("block", F.coalesce("__b", "pub")).drop("__f", "__p", "__b")
+    j = pubs.join(blocks, (pubs["focus"] == blocks["__f"]) & (pubs["pub"] == blocks["__p"]), "left").join(large.withColumn("__large", F.lit(True)), "focus", "left")
+    return j.withColumn("block", F.when(F.col("__large"), F.coalesce("__b", "pub"))).drop("__f", "__p", "__b", "__large")
 
 
 def per_paper(rows: DataFrame) -> DataFrame:
@@ -115,7 +125,7 @@ def per_paper(rows: DataFrame) -> DataFrame:
     return rows.groupBy("focus", "block", "pub").agg(F.sort_array(F.collect_list(entry)).alias("p")).select("focus", "block", "pub", F.col("p.partner").alias("names"), F.col("p.error").alias("errors"), F.col("p.counts").alias("counts"))
 
 
-def merge_in_order(pubs: DataFrame, rule, evidence: DataFrame | None = None) -> DataFrame:
+def merge_in_order(pubs: DataFrame, rule, evidence: DataFrame | None = None, small_focus: int = SMALL_FOCUS) -> DataFrame:
     """(focus, pub, cluster) of pubs (focus string, pub long, partners array<string>); evidence: (focus, partner, error, counts), see partner_evidence."""
     rows = pubs.select("focus", "pub", F.explode_outer("partners").alias("partner"))
     if evidence is not None:
@@ -123,14 +133,12 @@ def merge_in_order(pubs: DataFrame, rule, evidence: DataFrame | None = None) ->
     else:
         rows = rows.withColumns({"error": F.lit(None).cast("double"), "counts": F.lit(None).cast("boolean")})
 
-    def run(pdf):
-        pdf = pdf.sort_values("pub")
-        about = {n: (0.0 if e is None or e != e else e, c is None or bool(c)) for names, errors, counts in zip(pdf["names"], pdf["errors"], pdf["counts"]) for n, e, c in zip(names, errors, counts)}
-        kept = merged_in_order([Counter(names) for names in pdf["names"]], lambda a, b, shared: rule(a, b, shared, about))
-        ids = pdf["pub"].to_list()
-        return pdf[["focus", "pub"]].assign(cluster=[ids[k] for k in kept])
+    def run(block):
+        about = {n: (e or 0.0, c is None or c) for x in block for n, e, c in zip(x["names"], x["errors"], x["counts"])}
+        kept = merged_in_order([Counter(x["names"]) for x in block], lambda a, b, shared: rule(a, b, shared, about))
+        return [(x["focus"], x["pub"], block[k]["pub"]) for x, k in zip(block, kept)]
 
-    return per_paper(with_blocks(rows)).groupBy("focus", "block").applyInPandas(run, "focus string, pub long, cluster long")
+    return over_runs(per_paper(with_blocks(rows, small_focus=small_focus)), ["focus", "block"], ["pub"], run, StructType.fromDDL("focus string, pub long, cluster long"))
 
 
 def overestimated(ambiguity):
@@ -191,34 +199,31 @@ def seeds_in_order(free: list[Counter], seeds: list[Counter]) -> tuple[list[int
     return taken, kept
 
 
-def merge_into_seeds(pubs: DataFrame, seeds: DataFrame) -> DataFrame:
+def merge_into_seeds(pubs: DataFrame, seeds: DataFrame, small_focus: int = SMALL_FOCUS) -> DataFrame:
     """(focus, pub, seed, cluster) of pubs (focus, pub, partners); seeds: (focus, pub, seed long), papers known to belong together.
 
     seed is null where a paper joined none; cluster is then the paper that its cluster grew from, else the least paper of the seed."""
     given = seeds.select("focus", "pub", "seed").dropDuplicates(["focus", "pub"])
     own = F.concat(F.lit("\x00seed "), F.col("seed").cast("string")).alias("partner")
-    rows = with_blocks(pubs.select("focus", "pub", F.explode_outer("partners").alias("partner")), given.select("focus", "pub", own))
+    rows = with_blocks(pubs.select("focus", "pub", F.explode_outer("partners").alias("partner")), given.select("focus", "pub", own), small_focus)
     rows = rows.join(given, ["focus", "pub"], "left")
     papers = rows.groupBy("focus", "block", "pub").agg(F.first("seed").alias("seed"), F.sort_array(F.collect_list("partner")).alias("names"))
 
-    def run(pdf):
-        pdf = pdf.sort_values("pub").reset_index(drop=True)
-        known = pdf["seed"].notna()
-        numbers = sorted(pdf["seed"][known].astype("int64").unique())
-        held = {int(s): Counter() for s in numbers}
-        low: dict[int, int] = {}
-        for s, pub, names in zip(pdf["seed"][known].astype("int64"), pdf["pub"][known], pdf["names"][known]):
-            held[s].update(names)
-            low.setdefault(s, pub)
-        free = pdf.index[~known].to_list()
-        taken, kept = seeds_in_order([Counter(pdf["names"][k]) for k in free], [held[s] for s in numbers])
-        seed = pdf["seed"].astype("Int64").to_list()
-        cluster = [low.get(s) if known[k] else None for k, s in enumerate(seed)]
-        for k, t, to in zip(free, taken, kept):
-            seed[k], cluster[k] = (None, pdf["pub"][free[to]]) if t is None else (numbers[t], low[numbers[t]])
-        return pdf[["focus", "pub"]].assign(seed=seed, cluster=cluster).astype({"seed": "Int64", "cluster": "int64"})
-
-    return papers.groupBy("focus", "block").applyInPandas(run, "focus string, pub long, seed long, cluster long")
+    def run(block):
+        numbers = sorted({x["seed"] for x in block if x["seed"] is not None})
+        held, low = {n: Counter() for n in numbers}, {}
+        for x in block:
+            if x["seed"] is not None:
+                held[x["seed"]].update(x["names"])
+                low.setdefault(x["seed"], x["pub"])
+        free = [x for x in block if x["seed"] is None]
+        taken, kept = seeds_in_order([Counter(x["names"]) for x in free], [held[n] for n in numbers])
+        out = [(x["focus"], x["pub"], x["seed"], low[x["seed"]]) for x in block if x["seed"] is not None]
+        for x, t, to in zip(free, taken, kept):
+            out.append((x["focus"], x["pub"], None, free[to]["pub"]) if t is None else (x["focus"], x["pub"], numbers[t], low[numbers[t]]))
+        return out
+
+    return over_runs(papers, ["focus", "block"], ["pub"], run, StructType.fromDDL("focus string, pub long, seed long, cluster long"))
 
 
 def greedy_jaccard(sets: list[set], threshold: float) -> list[int]:

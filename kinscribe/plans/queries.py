@@ -238,8 +238,11 @@ def scalar_numbers(s, d):
 
 
 def queries() -> dict:
+    from . import resolution  # noqa: F401  registers its own
+
     return {k: f for k, (f, _) in REGISTRY.items()}
 
 
 def oracle_sql() -> dict:
-    return {k: sql for k, (_, sql) in REGISTRY.items()}
+    queries()
+    return {k: sql for k, (_, sql) in REGISTRY.items() if sql}

@@ -55,12 +55,13 @@ def test_a_merge_keeps_the_place_of_the_cluster_that_looks():
     assert M.jaccard(Counter(["UNKNOWN", "a"]), Counter(["UNKNOWN", "a"])) == pytest.approx(1 / 3)
 
 
-def test_operator_equals_the_plain_loop(spark):
+@pytest.mark.parametrize("small", [M.SMALL_FOCUS, 30])
+def test_operator_equals_the_plain_loop(spark, small):
     r = random.Random(3)
     rows = [(f, 100 * k + n, p) for k, f in enumerate(["x", "y", "z"]) for n, p in enumerate(papers(r, 18))]
     rows += [("x", 900, None), ("x", 901, [None, "q"]), ("x", 902, ["q", None])]
     df = spark.createDataFrame(rows, "focus string, pub long, partners array<string>").repartition(4)
-    got = {(x.focus, x.pub): x.cluster for x in M.merge_in_order(df, M.JaccardRule(0.3)).collect()}
+    got = {(x.focus, x.pub): x.cluster for x in M.merge_in_order(df, M.JaccardRule(0.3), small_focus=small).collect()}
     assert len(got) == len(rows)
     for f in "xyz":
         own = sorted((p, [x for x in s or [] if x]) for g, p, s in rows if g == f)
@@ -110,12 +111,13 @@ def test_seeds_equal_the_plain_rounds(seed):
     assert M.seeds_in_order([Counter(x) for x in free], [Counter(x) for x in seeds]) == plain_seeds(free, seeds)
 
 
-def test_seed_operator(spark):
+@pytest.mark.parametrize("small", [M.SMALL_FOCUS, 5])
+def test_seed_operator(spark, small):
     r = random.Random(8)
     rows = [("f", k, p) for k, p in enumerate(papers(r, 30))] + [("g", 70, ["a", "b"]), ("g", 71, ["a", "b"]), ("g", 72, None)]
     given = [("f", 3, 5), ("f", 9, 5), ("f", 4, 2), ("f", 20, 7)]
     df = spark.createDataFrame(rows, "focus string, pub long, partners array<string>").repartition(3)
-    got = {(x.focus, x.pub): (x.seed, x.cluster) for x in M.merge_into_seeds(df, spark.createDataFrame(given, "focus string, pub long, seed long")).collect()}
+    got = {(x.focus, x.pub): (x.seed, x.cluster) for x in M.merge_into_seeds(df, spark.createDataFrame(given, "focus string, pub long, seed long"), small).collect()}
     seeds = {5: [3, 9], 2: [4], 7: [20]}
     numbers = sorted(seeds)
     free = [k for k in range(30) if k not in (3, 9, 4, 20)]
