@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import agglomeration as A
 from ..operators import likelihood as L
 from ..operators import merging as M
 from ..operators import name_order as O
@@ -175,3 +176,17 @@ def expanded_maps(s, d):
     e = L.expanded(p.withColumn("had", F.map_keys("before")), ["client_id", "month"], "before", "now", similar_kinds(s, d), L.SAMPLE_LEAST)
     new = F.map_filter("before", lambda k, v: ~F.array_contains("had", k))
     return e.select("client_id", "month", F.round(L.total(F.col("before")) - L.total(new), 4).alias("own"), F.size(new).cast("long").alias("n_new"), F.round(L.total(new), 4).alias("added"), F.array_join(F.array_sort(F.map_keys(new)), ",").alias("kinds"))
+
+
+@query(None)
+def stage_two_clusters(s, d):
+    """Stage one's clusters of a customer's orders, joined by the words of their parts' names, priorities and years."""
+    parts = t(s, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.split("p_name", " ").alias("words"))
+    words = t(s, d, "lineitem").select("l_orderkey", "l_partkey").join(parts, "l_partkey").select(F.col("l_orderkey").alias("pub"), F.explode("words").alias("term")).distinct()
+    terms = words.groupBy("pub").agg(F.collect_list("term").alias("terms"))
+    spread = words.groupBy("term").count()
+    weights = spread.crossJoin(F.broadcast(t(s, d, "orders").agg(F.count("*").alias("all")))).select("term", F.log(F.col("all") / F.col("count")).alias("weight"))
+    about = t(s, d, "orders").select(F.col("o_orderkey").alias("pub"), F.col("o_orderpriority").alias("venue"), F.year("o_orderdate").alias("year"))
+    one = stage_one_clusters(s, d).withColumn("focus", F.col("focus").cast("string"))
+    p = papers(s, d).join(one, ["focus", "pub"]).join(about, "pub").join(terms, "pub", "left")
+    return A.agglomerate_papers(p, weights, A.Joining(threshold=2.0, venue_threshold=0.5))
