@@ -5,17 +5,23 @@ from __future__ import annotations
 import tempfile
 from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's shared folder, which a cluster names in spark.checkpoint.dir; a temporary one where executors are on this machine and none is set."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = sc.getConf().get("spark.checkpoint.dir")
         if not named and sc.master.split("[")[0] != "local":
             raise RuntimeError("a cluster has to name a shared folder in spark.checkpoint.dir")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 

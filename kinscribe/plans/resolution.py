@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import agglomeration as A
+from ..operators import alignment as X
 from ..operators import likelihood as L
 from ..operators import merging as M
 from ..operators import name_order as O
@@ -190,3 +191,18 @@ def stage_two_clusters(s, d):
     one = stage_one_clusters(s, d).withColumn("focus", F.col("focus").cast("string"))
     p = papers(s, d).join(one, ["focus", "pub"]).join(about, "pub").join(terms, "pub", "left")
     return A.agglomerate_papers(p, weights, A.Joining(threshold=2.0, venue_threshold=0.5))
+
+
+_ALIGNED = """
+with a as (select item_id, quantity, sale_id as kept_sale, shipped_at as kept_at, row_number() over (partition by item_id, quantity order by shipped_at nulls first, sale_id nulls first) as ordinal from sale_lines where flag = 'kept'),
+b as (select item_id, quantity, sale_id as returned_sale, shipped_at as returned_at, row_number() over (partition by item_id, quantity order by shipped_at nulls first, sale_id nulls first) as ordinal from sale_lines where flag = 'returned')
+select case when a.ordinal is not null then a.item_id else b.item_id end as item_id, case when a.ordinal is not null then a.quantity else b.quantity end as quantity, coalesce(a.ordinal, b.ordinal) as ordinal,
+  kept_sale, returned_sale, epoch(kept_at)::bigint as kept_at, epoch(returned_at)::bigint as returned_at, case when a.ordinal is null then 'right' when b.ordinal is null then 'left' else 'both' end as side
+from a full join b on a.item_id is not distinct from b.item_id and a.quantity is not distinct from b.quantity and a.ordinal = b.ordinal"""
+
+
+@query(_ALIGNED)
+def aligned_returns(s, d):
+    """Returned lines against kept ones of the same item and quantity, the first with the first; what has no partner stays."""
+    side = lambda flag: t(s, d, "sale_lines").where(F.col("flag") == flag).select("item_id", "quantity", F.col("sale_id").alias(f"{flag}_sale"), F.col("shipped_at").cast("timestamp").cast("long").alias(f"{flag}_at"))
+    return X.align(side("kept"), side("returned"), ["item_id", "quantity"], ["kept_at", "kept_sale"], ["returned_at", "returned_sale"])
