@@ -238,7 +238,7 @@ def scalar_numbers(s, d):
 
 
 def queries() -> dict:
-    from . import resolution  # noqa: F401  registers its own
+    from . import resolution, taxonomies  # noqa: F401  register their own
 
     return {k: f for k, (f, _) in REGISTRY.items()}
 
