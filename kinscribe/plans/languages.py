@@ -35,8 +35,5 @@ def spoken(s, d) -> DataFrame:
 def language_votes(s, d):
     words = checkpointed(spoken(s, d))
     of = lambda lang: V.vocabulary(words.where(F.col("lang") == lang).select(F.col("word").alias("line"), F.lit(True).alias("native")))
-    texts, out = t(s, d, "documents").select(F.col("doc_id").alias("id"), "text"), None
-    for other in FOREIGN:
-        v = V.language_vote(texts, of("en"), of(other)).select(F.col("id").alias("doc_id"), F.lit(other).alias("other"), "n_words", "n_foreign", "n_shared", "n_english", "n_unknown", "is_foreign")
-        out = v if out is None else out.unionByName(v)
-    return out
+    votes = V.language_votes(t(s, d, "documents").select(F.col("doc_id").alias("id"), "text"), of("en"), {other: (of(other), V.WHOLE) for other in FOREIGN})
+    return votes.withColumnsRenamed({"id": "doc_id", "language": "other"})

@@ -74,8 +74,9 @@ def plain(text, english, foreign, how):
     return total, f, s, e, u, not short and f > 0 and (3 * f >= e or s >= e)
 
 
-@pytest.mark.parametrize("how", [V.BEFORE, V.AFTER, V.WHOLE])
-def test_vote_by_scanning(spark, how):
+@pytest.mark.parametrize("how,bound", [(V.BEFORE, 1 << 26), (V.AFTER, 1 << 26), (V.WHOLE, 1 << 26), (V.BEFORE, 0)])
+def test_vote_by_scanning(spark, monkeypatch, how, bound):
+    monkeypatch.setattr(V, "MAX_BROADCAST_BYTES", bound)
     r = random.Random(5)
     words = "de facto standard jure van time data the of eau l'eau I'll coup d'etat laissez faire c'est De DE Facto x2 2x o''o ' zzz".split()
     texts = ["".join(r.choice(words) + r.choice([" ", " ", " ", "-", ", ", "\n", "é"]) for _ in range(r.randrange(1, 14))) for _ in range(300)] + ["", None, "de facto de facto standard", "the " * 3000 + "eau " * 1000, "Coup d'etat", "de  facto standard"]
@@ -89,6 +90,20 @@ def test_vote_by_scanning(spark, how):
     assert not bad and len(got) == len(texts)
 
 
+def test_several_languages(spark):
+    r = random.Random(9)
+    words = "time eau l'eau l'art van data the I'll d'etat c'est zzz jure".split()
+    texts = [" ".join(r.choices(words, k=r.randrange(12))) for _ in range(80)] + [None]
+    lines = "line string, native boolean"
+    loans = [x for x in ENGLISH if x[0] is None or len(re.split(r"[ -]", x[0])) < 2 or x[1]]  # no phrase: sums only
+    english = V.vocabulary(spark.createDataFrame(loans, lines), V.BEFORE)
+    of = {how: (V.vocabulary(spark.createDataFrame(FOREIGN, lines), how), how) for how in (V.BEFORE, V.AFTER)}
+    got = V.language_votes(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), english, of).collect()
+    assert len(got) == 2 * len(texts)
+    for x in got:
+        assert tuple(x)[2:] == plain(texts[x.id], entries(loans, V.BEFORE), entries(FOREIGN, x.language), x.language), texts[x.id]
+
+
 def test_nothing(spark):
     none = spark.createDataFrame([], "line string, native boolean")
     t = spark.createDataFrame([(1, "any text"), (2, None)], "id long, text string")
