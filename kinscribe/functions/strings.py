@@ -47,7 +47,7 @@ def decapitalised(c: Column) -> Column:
     """Words' first capitals in lower case, but for capitals that another one follows; words in capitals only stay whole."""
     words = F.regexp_extract_all(c, F.lit(r"\w+|\W+"), F.lit(0))
     low = lambda w: F.when(w.rlike(r"^[A-Z](?:[^A-Z]|$)"), F.concat(F.lower(F.substring(w, 1, 1)), F.substring(w, 2, 1_000_000_000))).otherwise(w)
-    return F.when(~c.rlike("[a-z]") & c.rlike("[A-Z]{2}"), c).otherwise(F.array_join(F.transform(words, low), ""))
+    return F.when(~c.rlike("[A-Z]") | (~c.rlike("[a-z]") & c.rlike("[A-Z]{2}")), c).otherwise(F.array_join(F.transform(words, low), ""))
 
 
 def word_count(c: Column) -> Column:

@@ -109,7 +109,7 @@ def _added(texts: DataFrame, english: DataFrame, foreigns: dict) -> DataFrame:
     flags = ["e", *(f"f{k}" for k in range(len(foreigns)))]
     table = checkpointed(table.groupBy("entry").agg(*(F.max(c).alias(c) for c in flags)))
     size = table.agg(F.coalesce(F.sum(F.octet_length("entry") + 64), F.lit(0))).first()[0]
-    words = F.filter(F.regexp_extract_all("text", F.lit("[a-zA-Z0-9']+"), F.lit(0)), lambda x: ~x.rlike("[0-9]"))
+    words = F.regexp_extract_all("text", F.lit("(?<![a-zA-Z0-9'])[a-zA-Z']++(?![0-9])"), F.lit(0))  # runs without digits
     table = F.broadcast(table) if size <= MAX_BROADCAST_BYTES else table
 
     def flagged(texts: DataFrame, words: Column) -> DataFrame:
