@@ -238,7 +238,7 @@ def scalar_numbers(s, d):
 
 
 def queries() -> dict:
-    from . import languages, resolution, taxonomies  # noqa: F401  register their own
+    from . import concepts, languages, resolution, taxonomies  # noqa: F401  register their own
 
     return {k: f for k, (f, _) in REGISTRY.items()}
 
