@@ -28,9 +28,10 @@ def trim_punctuation(c: Column) -> Column:
     return F.btrim(c, F.lit(PUNCTUATION))
 
 
-def restore_entities(c: Column) -> Column:
-    for name, char in [*list(ENTITIES.items())[1:], ("&amp;", "&")]:
-        c = F.replace(c, F.lit(name), F.lit(char))
+def restore_entities(c: Column, names=tuple(ENTITIES)) -> Column:
+    """The named entities, ampersands last: what they bring forth is not read again."""
+    for name in sorted(names, key=lambda n: n == "&amp;"):
+        c = F.replace(c, F.lit(name), F.lit(ENTITIES[name]))
     return c
 
 
