@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import pairs_of
-from .graph import components
+from .graph import components, stored
 
 
 def by_shared_partner(bridge: DataFrame, focus: str, pub: str, partner: str) -> DataFrame:
-    """(focus, pub, cluster): papers of one focus that a chain of common partners joins. Papers are linked through partners (a star for each), not pairwise."""
+    """(focus, pub, cluster): papers of one focus that a chain of common partners joins, named by the least of them.
+
+    Partners, not papers, are what is linked: those of a paper to its least one. A paper then goes where its least partner went."""
     d = bridge.select(F.col(focus).alias("focus"), F.col(pub).alias("pub"), F.col(partner).alias("partner")).distinct()
-    star = d.groupBy("focus", "partner").agg(F.min("pub").alias("low"))
-    key = lambda c: F.struct(F.col("focus"), F.col(c).alias("pub"))
-    links = d.join(star, ["focus", "partner"]).where("pub != low").select(key("pub").alias("a"), key("low").alias("b"))
-    c = components(links).select(F.col("node.focus").alias("focus"), F.col("node.pub").alias("pub"), F.col("component.pub").alias("cluster"))
-    return d.select("focus", "pub").distinct().join(c, ["focus", "pub"], "left").withColumn("cluster", F.coalesce("cluster", "pub"))
+    d = stored(d.withColumn("lead", F.min("partner").over(Window.partitionBy("focus", "pub"))))
+    papers, linked = d.where("partner <=> lead").select("focus", "pub", "lead"), "focus is not null and pub is not null and lead is not null"
+    key = lambda c: F.struct(F.col("focus"), F.col(c).alias("partner"))
+    parts = components(d.where(linked).where("lead != partner").select(key("lead").alias("a"), key("partner").alias("b")))
+    leads = papers.where(linked).groupBy(key("lead").alias("node")).agg(F.min("pub").alias("low"))
+    leads = stored(leads.join(parts, "node", "left").select("node", "low", F.coalesce("component", "node").alias("component")))
+    least = leads.groupBy("component").agg(F.min("low").alias("cluster"))
+    low = leads.join(least, "component").select(F.col("node.focus").alias("focus"), F.col("node.partner").alias("lead"), "cluster")
+    return papers.join(low, ["focus", "lead"], "left").select("focus", "pub", F.when(F.col("pub").isNotNull(), F.coalesce("cluster", "pub")).alias("cluster"))
 
 
 def agglomerate(scores, n: int, stop_at: int, threshold: float, merge) -> list[list[int]]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df, written as parquet to the shared folder and read from there: lineage ends here, and plans know its size."""
+    at = f"{checkpoint_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def ancestors(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(node, ancestor, depth) with the least depth; cycles end at what is known. edges: parent, child.
 
@@ -57,20 +65,35 @@ def information_content(freq: DataFrame, closure: DataFrame) -> DataFrame:
     return own.unionAll(up).groupBy("term").agg(F.sum("freq").alias("freq")).crossJoin(F.broadcast(total)).select("term", "freq", F.when(F.col("freq") > 0, F.round(F.log("mc") - F.log("freq"), 4)).otherwise(-1.0).alias("ic"))
 
 
+def _roots(up: DataFrame) -> DataFrame:
+    """(node, up) with the root of each node's tree, of pointers (node, up) whose only cycles are pairs; their lesser end is the root."""
+    far = lambda up: up.select(F.col("node").alias("up"), F.col("up").alias("far"))
+    up = stored(up.join(far(up), "up").select("node", F.when(F.col("far") == F.col("node"), F.least("node", "up")).otherwise(F.col("up")).alias("up")))
+    while True:
+        new = stored(up.join(far(up), "up").select("node", F.col("far").alias("up"), (F.col("far") != F.col("up")).alias("moved")))
+        up = new.select("node", "up")
+        if new.where("moved").isEmpty():
+            return up
+
+
 def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
-    """(node, component) by minimum labels with pointer jumping, until they settle; edges (a, b).
-
-    Where rounds is given and too few, it raises."""
-    e = edges.select("a", "b").where("a != b")
-    e = checkpointed(e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = checkpointed(e.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")))
-    for k in count(1):
-        near = e.join(label.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("component").alias("m"))
-        low = label.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("component").alias("old"), F.least("component", "m").alias("c"))
-        jump = label.select(F.col("node").alias("c"), F.col("component").alias("far"))
-        new = checkpointed(low.join(jump, "c", "left").select("node", "old", F.least("c", F.coalesce("far", "c")).alias("component")))
-        if new.where("old != component").isEmpty():
-            return label
-        if rounds is not None and k >= rounds:
+    """(node, component), the smallest node reachable over edges (a, b); nodes are numbered first, so any type that orders will do.
+
+    Each round every node points to its smallest neighbour and the trees that this makes become one node each, so that
+    nodes halve at least and only edges between trees are left for the next round. Where rounds is given and too few, it raises."""
+    e = stored(edges.select("a", "b").where("a != b").distinct())
+    nodes = stored(e.select(F.col("a").alias("node")).unionAll(e.select("b")).distinct().withColumn("id", F.monotonically_increasing_id()))
+    ends = lambda e, of, node, to: e.join(of.select(F.col(node).alias("a"), F.col(to).alias("x")), "a").join(of.select(F.col(node).alias("b"), F.col(to).alias("y")), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    e, steps = stored(ends(e, nodes, "node", "id")), []
+    while not e.isEmpty():
+        if rounds is not None and len(steps) >= rounds:
             raise RuntimeError(f"components did not settle in {rounds} rounds")
-        label = new.select("node", "component")
+        both = e.unionAll(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        steps.append(_roots(stored(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("up")))))
+        e = stored(ends(e, steps[-1], "node", "up").where("a != b").distinct())
+    root = nodes.select(F.col("id").alias("node"), F.col("id").alias("up")).limit(0) if not steps else steps.pop()
+    while steps:
+        last = root.select(F.col("node").alias("up"), F.col("up").alias("root"))
+        root = stored(steps.pop().join(last, "up", "left").select("node", F.coalesce("root", "up").alias("up")))
+    named = stored(nodes.join(root.select(F.col("node").alias("id"), F.col("up").alias("root")), "id").select("node", "root"))
+    return named.join(named.groupBy("root").agg(F.min("node").alias("component")), "root").select("node", "component")
