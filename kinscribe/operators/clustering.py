@@ -46,7 +46,7 @@ def agglomerate(scores, n: int, stop_at: int, threshold: float, merge) -> list[l
 
 def pair_scores(assigned: DataFrame, group: list[str], cluster: str, truth: str) -> DataFrame:
     """(group, right, predicted, actual, p, r, f1) of pairs: contingency counts, not pairs, are what is grouped."""
-    cell = assigned.groupBy(*group, cluster, truth).agg(F.count("*").alias("n"))
+    cell = stored(assigned.groupBy(*group, cluster, truth).agg(F.count("*").alias("n")))
     right = cell.groupBy(*group).agg(F.sum(pairs_of(F.col("n"))).alias("right"))
     side = lambda c, name: cell.groupBy(*group, c).agg(F.sum("n").alias("n")).groupBy(*group).agg(F.sum(pairs_of(F.col("n"))).alias(name))
     j = right.join(side(cluster, "predicted"), group).join(side(truth, "actual"), group)
