@@ -6,10 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of a bridge to a partition: a paper's rows, and pairs, are dealt to as many as keep each near it.
+ROWS_A_PART = 500_000
+
+
 def coauthor_pairs(bridge: DataFrame, pub: str, author: str) -> DataFrame:
-    """(a, b, n) of authors a < b with common papers. One equi-join on the paper."""
-    d = bridge.select(F.col(pub).alias("p"), F.col(author).alias("x")).distinct()
-    return d.alias("l").join(d.alias("r"), "p").where("l.x < r.x").groupBy(F.col("l.x").alias("a"), F.col("r.x").alias("b")).agg(F.count("*").alias("n"))
+    """(a, b, n) of authors a < b with common papers. One equi-join on the paper.
+
+    Rows are counted first: the number of partitions grows with them, so that what a task sorts or sums does not."""
+    d = bridge.select(F.col(pub).alias("p"), F.col(author).alias("x")).where("p is not null and x is not null")
+    parts = 1 + d.count() // ROWS_A_PART
+    d = (d.repartition(parts, "p") if parts > 1 else d).distinct()
+    both = d.alias("l").join(d.alias("r"), "p").where("l.x < r.x").select(F.col("l.x").alias("a"), F.col("r.x").alias("b"))
+    return (both.repartition(parts, "a", "b") if parts > 1 else both).groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
 def rank_ranges(df: DataFrame, by: list[Column]) -> DataFrame:
