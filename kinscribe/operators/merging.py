@@ -24,6 +24,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.numbers import sampling_ratio
 from .clustering import by_shared_partner
+from .graph import stored
 from .grouped import over_runs
 
 
@@ -58,6 +59,8 @@ def merged_in_order(sets: list[Counter], may_join: Callable[[Counter, Counter, l
 
 def jaccard(a: Counter, b: Counter) -> float:
     """Of the kinds in both; what is UNKNOWN in one is never that of the other."""
+    if a.keys().isdisjoint(b.keys()):
+        return 0.0
     known = lambda s: s.keys() - {"UNKNOWN"}
     both = len(known(a) & known(b))
     whole = len(known(a) | known(b)) + ("UNKNOWN" in a) + ("UNKNOWN" in b)
@@ -125,20 +128,37 @@ def per_paper(rows: DataFrame) -> DataFrame:
     return rows.groupBy("focus", "block", "pub").agg(F.sort_array(F.collect_list(entry)).alias("p")).select("focus", "block", "pub", F.col("p.partner").alias("names"), F.col("p.error").alias("errors"), F.col("p.counts").alias("counts"))
 
 
-def merge_in_order(pubs: DataFrame, rule, evidence: DataFrame | None = None, small_focus: int = SMALL_FOCUS) -> DataFrame:
-    """(focus, pub, cluster) of pubs (focus string, pub long, partners array<string>); evidence: (focus, partner, error, counts), see partner_evidence."""
-    rows = pubs.select("focus", "pub", F.explode_outer("partners").alias("partner"))
+def meeting(rows: DataFrame) -> DataFrame:
+    """(focus, pub, meets) of rows (focus, pub, partner): whether a paper shares a partner with another one of its focus."""
+    pubs = rows.where("partner is not null").groupBy("focus", "partner").agg(F.min("pub").alias("low"), F.max("pub").alias("high"), F.count("pub").alias("n"), F.count("*").alias("all"))
+    met = pubs.where("low != high or (n > 0 and n < all)").select(F.col("focus").alias("__f"), F.col("partner").alias("__n"), F.lit(True).alias("meets"))
+    flagged = rows.join(met, F.col("focus").eqNullSafe(F.col("__f")) & (F.col("partner") == F.col("__n")), "left")
+    return flagged.groupBy("focus", "pub").agg(F.coalesce(F.max("meets"), F.lit(False)).alias("meets"))
+
+
+def merge_in_order(pubs: DataFrame, rule, evidence: DataFrame | Callable[[DataFrame], DataFrame] | None = None, small_focus: int = SMALL_FOCUS) -> DataFrame:
+    """(focus, pub, cluster) of pubs (focus string, pub long, partners array<string>); evidence: (focus, partner, error, counts),
+    see partner_evidence, or what gives that for pairs (focus, partner).
+
+    A paper that shares no partner with another one of its focus is a cluster of its own and meets no Python."""
+    every = stored(pubs.select("focus", "pub", F.explode_outer("partners").alias("partner")))
+    who = stored(meeting(every))
+    meet = who.where("meets").select(F.col("focus").alias("__f"), F.col("pub").alias("__p"))
+    rows = stored(every.join(meet, F.col("focus").eqNullSafe(F.col("__f")) & F.col("pub").eqNullSafe(F.col("__p")), "left_semi"))
+    blocks = with_blocks(rows, small_focus=small_focus)
     if evidence is not None:
-        rows = rows.join(evidence.select("focus", "partner", "error", "counts"), ["focus", "partner"], "left")
+        about = evidence(rows.select("focus", "partner")) if callable(evidence) else evidence
+        blocks = blocks.join(about.select("focus", "partner", "error", "counts"), ["focus", "partner"], "left")
     else:
-        rows = rows.withColumns({"error": F.lit(None).cast("double"), "counts": F.lit(None).cast("boolean")})
+        blocks = blocks.withColumns({"error": F.lit(None).cast("double"), "counts": F.lit(None).cast("boolean")})
 
     def run(block):
         about = {n: (e or 0.0, c is None or c) for x in block for n, e, c in zip(x["names"], x["errors"], x["counts"])}
         kept = merged_in_order([Counter(x["names"]) for x in block], lambda a, b, shared: rule(a, b, shared, about))
         return [(x["focus"], x["pub"], block[k]["pub"]) for x, k in zip(block, kept)]
 
-    return over_runs(per_paper(with_blocks(rows, small_focus=small_focus)), ["focus", "block"], ["pub"], run, StructType.fromDDL("focus string, pub long, cluster long"))
+    merged = over_runs(per_paper(blocks), ["focus", "block"], ["pub"], run, StructType.fromDDL("focus string, pub long, cluster long"))
+    return who.where("not meets").select("focus", "pub", F.col("pub").alias("cluster")).unionByName(merged)
 
 
 def overestimated(ambiguity):
@@ -155,10 +175,10 @@ def partner_evidence(pairs: DataFrame, partner_counts: DataFrame, ambiguities: D
     ambiguities: (name, ambiguity), whose sum over all names is the total."""
     n, m = partner_counts.toDF("name", "n"), ambiguities.toDF("name", "m")
     total = m.agg(F.sum("m").alias("total"))  # one row
-    of = lambda t, key, value, as_: t.select(F.col("name").alias(key), F.col(value).alias(as_))
+    known = n.join(m, "name", "full_outer")
+    of = lambda key, end: known.select(F.col("name").alias(key), F.col("n").alias(f"n_{end}"), F.col("m").alias(f"m_{end}"))
     p = pairs.select("focus", "partner").distinct()
-    p = p.join(of(n, "focus", "n", "n_f"), "focus", "left").join(of(m, "focus", "m", "m_f"), "focus", "left")
-    p = p.join(of(n, "partner", "n", "n_p"), "partner", "left").join(of(m, "partner", "m", "m_p"), "partner", "left").crossJoin(F.broadcast(total))
+    p = p.join(of("focus", "f"), "focus", "left").join(of("partner", "p"), "partner", "left").crossJoin(F.broadcast(total))
     one = (F.col("n_p") + 1) * overestimated(F.col("m_f")) / F.col("total") / 2
     two = (F.col("n_f") + 1) * overestimated(F.col("m_p")) / F.col("total") / 2
     known = F.col("m_f").isNotNull() & F.col("n_f").isNotNull() & F.col("n_p").isNotNull()

@@ -13,6 +13,7 @@ from ..operators import alignment as X
 from ..operators import likelihood as L
 from ..operators import merging as M
 from ..operators import name_order as O
+from ..operators.graph import stored
 from .queries import query, t
 
 JACCARD = 0.2
@@ -36,22 +37,21 @@ def papers(s, d):
 
 
 @query(_STAGE_ONE)
-def stage_one_clusters(s, d):
-    return M.merge_in_order(papers(s, d), M.JaccardRule(JACCARD)).select(F.col("focus").cast("long").alias("focus"), "pub", "cluster")
+def stage_one_clusters(s, d, p=None):
+    return M.merge_in_order(papers(s, d) if p is None else p, M.JaccardRule(JACCARD)).select(F.col("focus").cast("long").alias("focus"), "pub", "cluster")
 
 
 @query(None)
 def evidence_clusters(s, d):
     """Merging by evidence: a supplier's ambiguity is its number of customers, a name's partners are counted over all orders."""
     p = papers(s, d)
-    pairs = p.select("focus", F.explode("partners").alias("partner"))
-    of = lambda a, b: pairs.groupBy(F.col(a).alias("name")).agg(F.count_distinct(b).cast("double").alias("n"))
-    side = lambda df, tag: df.withColumn("name", F.concat(F.lit(tag), "name"))  # noqa: E731  customers and suppliers are numbered alike
-    counts = side(of("focus", "partner"), "c").unionByName(side(of("partner", "focus"), "s"))
-    ambiguities = side(of("partner", "focus").withColumn("n", F.col("n") / 20), "s").unionByName(side(of("focus", "partner").withColumn("n", F.col("n") / 10), "c"))
-    named = p.select(F.concat(F.lit("c"), "focus").alias("focus"), "pub", F.transform("partners", lambda x: F.concat(F.lit("s"), x)).alias("partners"))
-    evidence = M.partner_evidence(named.select("focus", F.explode("partners").alias("partner")), counts, ambiguities)
-    return M.merge_in_order(named, M.EvidenceRule(tolerance=0.001), evidence)
+    # customers and suppliers are numbered alike
+    named = stored(p.select(F.concat(F.lit("c"), "focus").alias("focus"), "pub", F.transform("partners", lambda x: F.concat(F.lit("s"), x)).alias("partners")))
+    pairs = stored(named.select("focus", F.explode("partners").alias("partner")).distinct())
+    of = lambda a, b, part: pairs.groupBy(F.col(a).alias("name")).agg((F.count(b) / part).alias("n"))
+    counts = of("focus", "partner", 1).unionByName(of("partner", "focus", 1))
+    ambiguities = of("partner", "focus", 20).unionByName(of("focus", "partner", 10))
+    return M.merge_in_order(named, M.EvidenceRule(tolerance=0.001), lambda met: M.partner_evidence(met, counts, ambiguities))
 
 
 @query(None)
@@ -184,13 +184,15 @@ def stage_two_clusters(s, d):
     """Stage one's clusters of a customer's orders, joined by the words of their parts' names, priorities and years."""
     parts = t(s, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.split("p_name", " ").alias("words"))
     words = t(s, d, "lineitem").select("l_orderkey", "l_partkey").join(parts, "l_partkey").select(F.col("l_orderkey").alias("pub"), F.explode("words").alias("term")).distinct()
+    words = stored(words)
     terms = words.groupBy("pub").agg(F.collect_list("term").alias("terms"))
     spread = words.groupBy("term").count()
     weights = spread.crossJoin(F.broadcast(t(s, d, "orders").agg(F.count("*").alias("all")))).select("term", F.log(F.col("all") / F.col("count")).alias("weight"))
     about = t(s, d, "orders").select(F.col("o_orderkey").alias("pub"), F.col("o_orderpriority").alias("venue"), F.year("o_orderdate").alias("year"))
-    one = stage_one_clusters(s, d).withColumn("focus", F.col("focus").cast("string"))
-    p = papers(s, d).join(one, ["focus", "pub"]).join(about, "pub").join(terms, "pub", "left")
-    return A.agglomerate_papers(p, weights, A.Joining(threshold=2.0, venue_threshold=0.5))
+    own = stored(papers(s, d))
+    one = stage_one_clusters(s, d, own).withColumn("focus", F.col("focus").cast("string"))
+    p = own.join(one, ["focus", "pub"]).join(about, "pub").join(terms, "pub", "left")
+    return A.agglomerate_papers(stored(p), weights, A.Joining(threshold=2.0, venue_threshold=0.5))
 
 
 _ALIGNED = """
