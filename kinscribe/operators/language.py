@@ -15,6 +15,15 @@ BEFORE, AFTER, WHOLE = "before", "after", "whole"
 COUNTS = ["words", "foreign", "shared", "english", "unknown"]
 #: Vocabularies are broadcast up to this size (64 bytes an entry beside its letters) and joined by shuffles above it.
 MAX_BROADCAST_BYTES = 64 << 20
+#: Bytes of texts to a partition: files may come as a few large pieces, and taking texts apart is the work.
+PART_BYTES = 4 << 20
+
+
+def spread(texts: DataFrame, column: str = "text") -> DataFrame:
+    """texts, dealt by content to as many partitions as hold about PART_BYTES each; few texts stay where they are."""
+    size = texts.agg(F.coalesce(F.sum(F.octet_length(column)), F.lit(0))).first()[0]
+    parts = -(-size // PART_BYTES)
+    return texts.repartition(parts, F.xxhash64(*texts.columns)) if parts > 1 else texts
 
 
 def parted(word: Column, apostrophe: str) -> Column:
@@ -139,7 +148,7 @@ def _added(texts: DataFrame, english: DataFrame, foreigns: dict) -> DataFrame:
 def language_votes(texts: DataFrame, english: DataFrame, foreigns: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     """(id, language, n_words, n_foreign, n_shared, n_english, n_unknown, is_foreign): language_vote for each of several
     languages, name -> (vocabulary, apostrophe), with the words of a text taken once for all."""
-    texts = texts.select("id", "text")
+    texts = spread(texts.select("id", "text"))
     phrases = loan_phrases(texts, english)
     if phrases is None:
         counts = _added(texts, english, foreigns)

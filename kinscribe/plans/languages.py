@@ -27,7 +27,7 @@ from (select doc_id, unnest({FOREIGN}) as other from documents) left join n usin
 def spoken(s, d) -> DataFrame:
     """(lang, word): words without apostrophe of at least LEAST documents of a language."""
     runs = F.array_distinct(F.regexp_extract_all("text", F.lit("(?<![a-zA-Z0-9'])[a-zA-Z]++(?![0-9'])"), F.lit(0)))
-    w = t(s, d, "documents").select("doc_id", "lang", F.explode(runs).alias("word")).select("doc_id", "lang", V.decapitalised(F.col("word")).alias("word"))
+    w = V.spread(t(s, d, "documents").select("doc_id", "lang", "text")).select("doc_id", "lang", F.explode(runs).alias("word")).select("doc_id", "lang", V.decapitalised(F.col("word")).alias("word"))
     return w.groupBy("lang", "word").agg(F.count_distinct("doc_id").alias("n")).where(F.col("n") >= LEAST).select("lang", "word")
 
 
