@@ -78,7 +78,13 @@ def year_factor(a: tuple, b: tuple) -> float:
     return 0.0 if gap > YEARS_MOST else YEAR_DISCOUNT ** max(gap - YEARS_FREE, 0)
 
 
-def similarity(a: Cluster, b: Cluster, va: dict, vb: dict, weights: dict[str, float], boosts: dict[str, float], how: Joining) -> float:
+def venue_factor(a: Cluster, b: Cluster, how: Joining) -> float:
+    if how.venue_threshold is None:
+        return sampling_ratio(a.venues, b.venues, floor=VENUE_RATIO_LEAST)
+    return max(jaccard(a.venues, b.venues), VENUE_JACCARD_LEAST) / how.venue_threshold
+
+
+def similarity(a: Cluster, b: Cluster, va: dict, vb: dict, weights: dict[str, float], boosts: dict[str, float], how: Joining, venues: float | None = None) -> float:
     """Of two clusters with their vectors: shared terms, times the venues' factor, times the strongest shared partner's."""
     prior = min(how.threshold / 2, EMPTY_MOST)
     if not va or not vb:
@@ -86,10 +92,7 @@ def similarity(a: Cluster, b: Cluster, va: dict, vb: dict, weights: dict[str, fl
     else:
         score = sum(weights.get(t, 0.0) * va[t][0] * vb[t][0] * year_factor(va[t], vb[t]) for t in va if t in vb)
         score = max(score, prior) if score > 0 else score
-    if how.venue_threshold is None:
-        venues = sampling_ratio(a.venues, b.venues, floor=VENUE_RATIO_LEAST)
-    else:
-        venues = max(jaccard(a.venues, b.venues), VENUE_JACCARD_LEAST) / how.venue_threshold
+    venues = venue_factor(a, b, how) if venues is None else venues
     return score * venues * max((boosts.get(x, 1.0) for x in a.partners & b.partners), default=1.0)
 
 
@@ -98,6 +101,8 @@ def joined(clusters: list[Cluster], weights: dict[str, float], boosts: dict[str,
     kept, alive, number = list(range(len(clusters))), set(range(len(clusters))), list(range(len(clusters)))
     vectors = [c.vector() for c in clusters]
     holders, empty, heap = defaultdict(set), set(), []
+    prior, boost = min(how.threshold / 2, EMPTY_MOST), max(boosts.values(), default=1.0)
+    sizes = [(0.0, 0.0)] * len(clusters)  # what bounds a vector's products: its weighted sum and its largest value
 
     def note(k):
         for t in vectors[k]:
@@ -106,10 +111,17 @@ def joined(clusters: list[Cluster], weights: dict[str, float], boosts: dict[str,
             empty.add(k)
 
     def score(k, others):
+        """Pairs that may reach the threshold; others never join."""
+        v = vectors[k].items()
+        sizes[k] = (sum(abs(weights.get(t, 0.0)) * x[0] for t, x in v), max((x[0] for _, x in v), default=0.0))
         for m in others:
             i, j = min(k, m), max(k, m)
-            s = similarity(clusters[i], clusters[j], vectors[i], vectors[j], weights, boosts, how)
-            if s > 0:
+            venues = venue_factor(clusters[i], clusters[j], how)
+            most = max(min(sizes[i][0] * sizes[j][1], sizes[j][0] * sizes[i][1]) * (1 + 1e-9), prior)
+            if most * venues * boost * (1 + 1e-9) < how.threshold:
+                continue
+            s = similarity(clusters[i], clusters[j], vectors[i], vectors[j], weights, boosts, how, venues)
+            if s > 0 and s >= how.threshold:
                 heapq.heappush(heap, (-s, i, j, number[i], number[j]))
 
     for k in sorted(alive):
