@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections import defaultdict
 
 from pyspark.sql import DataFrame
@@ -13,6 +14,8 @@ from .grouped import over_runs
 
 #: Fixed value: nodes nearer to the root than this are too general to merge, or to merge into.
 LEAST_DEPTH = 2
+#: What is known of a near ancestor.
+NEAR = ("ancestor", "steps", "long")
 
 
 def near_ancestors(inherited: DataFrame, reach: int) -> DataFrame:
@@ -23,12 +26,16 @@ def near_ancestors(inherited: DataFrame, reach: int) -> DataFrame:
 
 
 class _Vector:
-    """The slots of one vector in order, and an index from ancestors to the live slots below them."""
+    """The slots of one vector in order, and an index from ancestors of LEAST_DEPTH, by steps, to the live slots below them.
+
+    Rows hold the terms and those of their ancestors that have LEAST_DEPTH; a node without a row is nearer to the root. near is
+    JSON of lists side by side, as Arrow takes much longer to give Python many small structs than the merging takes."""
 
     def __init__(self, rows: list[dict], reach: int):
         self.reach = reach
         self.depth = {r["node"]: r["depth"] for r in rows}
-        self.near = {r["node"]: {x["ancestor"]: (x["steps"], x["long"]) for x in r["near"]} for r in rows}
+        self.near = {r["node"]: {a: (k, x) for a, k, x in zip(*(near[c] for c in NEAR))} for r in rows for near in [json.loads(r["near"])]}
+        self.deep = {n: [(a, steps) for a, (steps, _) in near.items() if self.depth.get(a, 0) >= LEAST_DEPTH] for n, near in self.near.items()}
         self.weight = {r["node"]: r["weight"] for r in rows if r["weight"] is not None}
         self.slots = sorted(self.weight, key=lambda n: (-self.weight[n], n))
         self.start = list(self.slots)
@@ -38,12 +45,12 @@ class _Vector:
         self.barred, self.into = set(), {}
 
     def put(self, i: int):
-        for a in self.near[self.slots[i]]:
-            self.below[a].add(i)
+        for at in self.deep[self.slots[i]]:
+            self.below[at].add(i)
 
     def drop(self, i: int):
-        for a in self.near[self.slots[i]]:
-            self.below[a].discard(i)
+        for at in self.deep[self.slots[i]]:
+            self.below[at].discard(i)
         self.slots[i] = None
 
     def subsumer(self, p: str, q: str):
@@ -52,10 +59,17 @@ class _Vector:
         both = [(a[s][0] + b[s][0], a[s][1] + b[s][1], s) for s in a.keys() & b.keys() if a[s][0] + b[s][0] <= self.reach]
         return min(both) if both else None
 
+    def close(self, i: int, limit: int) -> list[int]:
+        """The slots, in order, that have an ancestor of LEAST_DEPTH with i within reach. No other pair can merge, and what bars
+        such a pair never changes. Limit 1 bars nothing by weight, so there pairs more than one step apart need no look."""
+        far = 1 if limit == 1 else self.reach
+        met = (self.below.get((a, there)) for a, here in self.deep[self.slots[i]] for there in range(far - here + 1))
+        return sorted(set().union(*filter(None, met)) - {i})
+
     def partner(self, i: int, limit: int):
         """The first slot that i merges with at this limit, and the node they merge into."""
         p = self.slots[i]
-        for j in sorted(set().union(*(self.below[a] for a in self.near[p])) - {i}):
+        for j in self.close(i, limit):
             q = self.slots[j]
             if p == q:
                 self.drop(j)
@@ -64,7 +78,7 @@ class _Vector:
                 continue
             low, high = sorted((self.weight[p], self.weight[q]))
             alike = low / high if low > 0 else 0.0
-            if self.depth[found[2]] < LEAST_DEPTH or alike < 1 - 1 / limit:
+            if self.depth.get(found[2], 0) < LEAST_DEPTH or alike < 1 - 1 / limit:
                 self.barred |= {(p, q), (q, p)}
             elif found[0] <= limit:
                 return j, found[2]
@@ -110,8 +124,10 @@ def merged_terms(vectors: DataFrame, inherited: DataFrame, reach: int = 1) -> Da
     above = v.join(deep, "term")
     shared = above.groupBy("vector", "ancestor").agg(F.count("*").alias("n")).where("n > 1").select("vector", "ancestor")
     close = checkpointed(above.join(shared, ["vector", "ancestor"], "left_semi").select("vector", "term", "weight").distinct())
-    up = close.join(inherited.select(F.col("node").alias("term"), "ancestor"), "term").select("vector", F.col("ancestor").alias("node")).distinct()
-    rows = up.join(close.withColumnRenamed("term", "node"), ["vector", "node"], "left").join(near_ancestors(inherited, reach), "node")
+    own = close.select("vector", F.col("term").alias("node"))
+    up = close.join(deep, "term").select("vector", F.col("ancestor").alias("node")).unionByName(own).distinct()
+    near = near_ancestors(inherited, reach).withColumn("near", F.to_json(F.struct(*(F.col(f"near.{c}").alias(c) for c in NEAR))))
+    rows = up.join(close.withColumnRenamed("term", "node"), ["vector", "node"], "left").join(near, "node")
     schema = StructType([v.schema["vector"], StructField("term", StringType()), StructField("concept", StringType()), StructField("steps", DoubleType())])
 
     def one(held: list[dict]):
@@ -123,7 +139,9 @@ def merged_terms(vectors: DataFrame, inherited: DataFrame, reach: int = 1) -> Da
 
 def compacted(merged: DataFrame) -> DataFrame:
     """(vector, concept, weight, n_terms): a vector with its concepts' weights; terms that merged stay beside, with their own."""
-    own = merged.where("concept != term").select("vector", F.col("term").alias("concept"), "weight", F.lit(1).cast("long").alias("n"))
-    taken = merged.groupBy("vector", "concept").agg(F.sum("weight").alias("weight"), F.count("*").alias("n"))
-    both = taken.withColumn("rank", F.lit(1)).unionByName(own.withColumn("rank", F.lit(0)))
-    return both.groupBy("vector", "concept").agg(F.max_by("weight", "rank").alias("weight"), F.max_by("n", "rank").alias("n_terms"))
+    entry = lambda concept, taken, own: F.struct(F.col(concept).alias("concept"), taken.alias("taken"), own.alias("own"))
+    none, weight = F.lit(None).cast(merged.schema["weight"].dataType), F.col("weight")
+    itself = F.array(entry("concept", weight, none))
+    both = F.when(F.col("concept") != F.col("term"), F.concat(itself, F.array(entry("term", none, weight)))).otherwise(itself)
+    g = merged.select("vector", F.inline(both)).groupBy("vector", "concept").agg(F.sum("taken").alias("taken"), F.max("own").alias("own"), F.count("taken").alias("n"))
+    return g.select("vector", "concept", F.coalesce("taken", "own").alias("weight"), F.greatest("n", F.lit(1)).alias("n_terms"))
